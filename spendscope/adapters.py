@@ -57,7 +57,7 @@ def request_log(events: DataFrame) -> DataFrame:
             " AS service_tier",
             "CASE WHEN slot = 4 AND event_id % 7 = 0 THEN 'us' END AS inference_geo",
             "1 AS requests",
-            "CAST(floor(value * 1000) AS BIGINT) AS uncached_input_tokens",
+            "CAST(floor(value * CASE WHEN event_type = 'signup' THEN 20 ELSE 1000 END) AS BIGINT) AS uncached_input_tokens",
             "CASE WHEN event_id % 3 = 0 THEN CAST(floor(value * 50) AS BIGINT) ELSE 0 END AS cache_read_tokens",
             "CASE WHEN event_id % 5 = 0 THEN CAST(floor(value * 20) AS BIGINT) ELSE 0 END AS cache_write_tokens",
             "CASE WHEN slot = 5 THEN CAST(floor(value * 10) AS BIGINT) ELSE 0 END AS cache_write_1h_tokens",
@@ -83,7 +83,7 @@ def usage_buckets(lineitem: DataFrame) -> DataFrame:
     return as_usage(
         base.selectExpr(
             "CAST(l_shipdate AS TIMESTAMP) + make_interval(0, 0, 0, 0, CAST(CASE WHEN l_suppkey % 4 = 0"
-            " THEN 1 + l_linenumber % 2 ELSE l_partkey % 24 END AS INT)) AS timestamp",
+            " THEN 1 + l_linenumber % 2 ELSE l_orderkey % 24 END AS INT)) AS timestamp",
             "3600 AS bucket_seconds",
             "'bucket' AS granularity",
             "CASE WHEN slot IN (3, 4, 5) THEN 'anthropic' ELSE 'openai' END AS vendor",
