@@ -103,3 +103,4 @@ def usage_buckets(lineitem: DataFrame) -> DataFrame:
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sources in one normalised table."""
     return request_log(table(spark, sf_dir, "events")).unionByName(usage_buckets(table(spark, sf_dir, "lineitem")))
+

@@ -17,8 +17,13 @@ SKELETON_CAP = 100
 CHECK_TYPE = "array<struct<kind:string,field:string,value:string,values:array<string>>>"
 
 
+# All characters that separate words, not only the ASCII ones.
+WHITESPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+"
+
+
 def normal_text(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), r"^ | $", "")
+    """Lower case, runs of whitespace as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), WHITESPACE, " "))
 
 
 def check_passes(output: Column, normal_output: Column, check: Column) -> Column:

@@ -1,8 +1,9 @@
 """The end-to-end analysis: named, lazily built tables over one normalised usage table.
 
-Nothing is computed until a table is used. The rows are read three times at most: once for the cells, once
-for the replay and once for the duplicate check, each with only the columns it needs. The cells and the two
-rate tables are small and read many times, so they are persisted; a lost executor only costs their recompute.
+Nothing is computed until a table is used. The rows are read a handful of times at most: for the cells, the
+replay, the duplicate check, the token quantiles and the invoice check, each with only the columns it needs.
+The cells, the two rate tables and the lever contributions are small and read many times, so they are
+written once to the shared folder and read back from there.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from spendscope.functions.tables import Workspace
 from spendscope.operators import breakdowns, cells as cl, duplicates, reuse
 from spendscope.plans import actions, evidence, levers as lv
 from spendscope.session import prepared
@@ -37,19 +38,20 @@ class Analysis:
         self.usage = usage
         self.invoice = invoice
         self.batchable = sorted(batchable)
+        self.workspace = Workspace(self.spark)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.workspace.settle(df, name)
 
     # -- shared inputs
 
     @cached_property
     def raw_cells(self) -> DataFrame:
-        return self._keep(cl.usage_cells(self.spark, self.usage))
+        return self._keep(cl.usage_cells(self.spark, self.usage), "raw_cells")
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self._keep(cl.with_monthly_factor(self.raw_cells))
+        return self._keep(cl.with_monthly_factor(self.raw_cells), "cells")
 
     @cached_property
     def spend(self) -> DataFrame:
@@ -74,11 +76,11 @@ class Analysis:
 
     @cached_property
     def cache_rates(self) -> DataFrame:
-        return self._keep(lv.cache_rates(self.spark, self.chat_cells, self.replay))
+        return self._keep(lv.cache_rates(self.spark, self.chat_cells, self.replay), "cache_rates")
 
     @cached_property
     def duplicate_rates(self) -> DataFrame:
-        return self._keep(duplicates.duplicate_rates(self.spark, self.chat_usage))
+        return self._keep(duplicates.duplicate_rates(self.spark, self.chat_usage), "duplicate_rates")
 
     @cached_property
     def stable_prefix(self) -> DataFrame:
@@ -162,7 +164,7 @@ class Analysis:
     def contributions(self) -> DataFrame:
         """A few rows per model or workload; kept because totals, details and evidence all read it."""
         parts = [self.migration, self.routing, self.caching, self.batch, self.output, self.duplicates, self.fast_mode]
-        return self._keep(lv.all_contributions(parts))
+        return self._keep(lv.all_contributions(parts), "contributions")
 
     @cached_property
     def levers(self) -> DataFrame:
@@ -272,7 +274,5 @@ class Analysis:
             df.write.format(fmt).mode(mode).save(f"{folder}/{name}")
 
     def release(self) -> None:
-        """Drop the persisted tables."""
-        for name in ("contributions", "cache_rates", "duplicate_rates", "cells", "raw_cells"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
+        """Delete the written intermediate tables; tables built from them stop working."""
+        self.workspace.release()
