@@ -20,11 +20,21 @@ def _renamed(value: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, value), value)
 
 
+_BLANKS = " \t\n\r\f\x0b"
+
+
 def model_key(model: Column | str) -> Column:
-    """Raw model id (snapshot, gateway or cloud id) -> key of the price dimension."""
+    """Raw model id (snapshot, gateway or cloud id) -> key of the price dimension.
+
+    The two patterns cost more than pricing the row, so plain string tests decide whether a row needs them.
+    """
     raw = F.col(model) if isinstance(model, str) else model
-    trimmed = F.regexp_replace(F.lower(raw), r"^\s+|\s+$", "")
-    bare = F.regexp_replace(F.regexp_replace(trimmed, VENDOR_PREFIX, ""), SNAPSHOT_SUFFIXES, "")
+    bare = F.btrim(F.lower(raw), F.lit(_BLANKS))
+    routed = bare.contains("openai") | bare.contains("anthropic")
+    bare = F.when(routed, F.regexp_replace(bare, VENDOR_PREFIX, "")).otherwise(bare)
+    # A snapshot suffix is a version or ends in a two-digit day.
+    digits = F.translate(F.right(bare, F.lit(2)), "0123456789", "0000000000") == "00"
+    bare = F.when(digits | bare.contains("-v"), F.regexp_replace(bare, SNAPSHOT_SUFFIXES, "")).otherwise(bare)
     return _renamed(bare, ALIASES)
 
 

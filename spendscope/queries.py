@@ -351,8 +351,7 @@ def duplicate_rates(spark, sf_dir):
 @query
 def cache_replay(spark, sf_dir):
     replay = reuse.cache_replay(spark, adapters.usage(spark, sf_dir))
-    costs = {"cost_own": RATE, "cost_hour": RATE}
-    return tidy(replay.drop("source"), MONEY, **costs)
+    return tidy(replay.drop("source"), MONEY, cost_own=6, cost_hour=6)
 
 
 @query

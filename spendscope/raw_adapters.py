@@ -272,9 +272,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One case per document, over its whole text; the five check kinds take turns."""
-    words = "split(text, ' ')"
+    words, spaced = "split(text, ' ')", "concat('  ', replace(text, ' ', '   '), ' ')"
     check = f"""CASE doc_id % 5
-        WHEN 0 THEN named_struct('kind', 'exact', 'field', NULL, 'value', upper(text), 'values', array(upper(text)))
+        WHEN 0 THEN named_struct('kind', 'exact', 'field', NULL, 'value', {spaced}, 'values', array({spaced}))
         WHEN 1 THEN named_struct('kind', 'contains', 'field', NULL, 'value', element_at({words}, -1),
             'values', array(element_at({words}, -1)))
         WHEN 2 THEN named_struct('kind', 'contains_all', 'field', NULL, 'value', NULL,
