@@ -444,7 +444,7 @@ STATEMENTS: dict[str, str] = {
     "duplicate_calls": f"SELECT model_key, request_hash, seq, timestamp, {rounded('cost_usd', 10)} FROM repeats WHERE is_dup",
     "duplicate_rates": f"SELECT model_key, {rounded('cost_usd')}, {rounded('dup_rate fail_rate', 8)} FROM dup_rates",
     "cache_replay": """SELECT o.model_key, o.seq, make_timestamp(o.at_us) AS timestamp, round(o.total, 4) AS total, round(o.hit, 4) AS hit_own, round(o.reuse, 4) AS reuse_own,
-        round(o.write, 4) AS write_own, round(o.cost, 6) AS cost_own, round(h.hit, 4) AS hit_hour, round(h.reuse, 4) AS reuse_hour, round(h.write, 4) AS write_hour, round(h.cost, 6) AS cost_hour
+        round(o.write, 4) AS write_own, round(o.cost, 12) AS cost_own, round(h.hit, 4) AS hit_hour, round(h.reuse, 4) AS reuse_hour, round(h.write, 4) AS write_hour, round(h.cost, 12) AS cost_hour
         FROM replay_cost o JOIN replay_cost h ON o.model_key = h.model_key AND o.seq = h.seq AND o.opt = 'own' AND h.opt = 'hour'""",
     "stable_prefix": """SELECT model_key, max(pos) AS pos, arg_max(median_chars, pos) AS prefix_chars, max(n_requests) AS n_requests FROM
         (SELECT model_key, pos, hash, count(*) AS n, CAST(median(chars) AS BIGINT) AS median_chars FROM blocks GROUP BY ALL) JOIN

@@ -351,7 +351,7 @@ def duplicate_rates(spark, sf_dir):
 @query
 def cache_replay(spark, sf_dir):
     replay = reuse.cache_replay(spark, adapters.usage(spark, sf_dir))
-    return tidy(replay.drop("source"), MONEY, cost_own=6, cost_hour=6)
+    return tidy(replay.drop("source"), MONEY, cost_own=12, cost_hour=12)
 
 
 @query
