@@ -19,17 +19,26 @@ def whole_number(doc: Column, path: str) -> Column:
     return F.coalesce(get(doc, path, "bigint"), F.lit(0).cast("bigint"))
 
 
+_NUMBERS = r"^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
+
+
 def kind_of(value: Column) -> Column:
-    """'number', 'string', 'boolean', 'object', 'array', 'null'; SQL NULL when the value is absent."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema.isNotNull(), "number")
-    )
+    """'number', 'string', 'boolean', 'object', 'array', 'null'; SQL NULL when the value is absent.
+
+    For scalars. On large values use the tests below: the schema of a variant covers all of its content.
+    """
+    name = F.lower(F.substring_index(F.schema_of_variant(value), "<", 1))
+    return F.replace(F.regexp_replace(name, _NUMBERS, "number"), F.lit("void"), F.lit("null"))
+
+
+def as_object(value: Column) -> Column:
+    """Fields of an object; NULL for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def as_list(value: Column) -> Column:
+    """Elements of a list; NULL for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def has_key(doc: Column, key: str) -> Column:

@@ -18,9 +18,6 @@ CACHE_MARKS = ["cache_control", "prompt_cache_breakpoint"]
 TEXT_FIELDS = ["request", "response", "output", "choices", "content"]
 EMPTY_JSON = ["null", "false", '""', "0", "0.0", "[]", "{}"]
 
-_FIELDS = "map<string,variant>"
-_LIST = "array<variant>"
-
 
 def canonical(value: Column) -> Column:
     return F.to_json(value)
@@ -28,7 +25,7 @@ def canonical(value: Column) -> Column:
 
 def without(value: Column, names: list[str]) -> Column:
     """Canonical text of an object without some of its keys."""
-    return F.to_json(F.map_filter(F.try_variant_get(value, "$", _FIELDS), lambda k, _: ~k.isin(names)))
+    return F.to_json(F.map_filter(js.as_object(value), lambda k, _: ~k.isin(names)))
 
 
 def _wrapped(key: str, text: Column) -> Column:
@@ -48,11 +45,10 @@ def _system_blocks(request: Column) -> Column:
     system = F.when(js.has_key(request, "system"), js.get(request, "system", "variant")).otherwise(
         js.get(request, "instructions", "variant")
     )
-    parts = F.try_variant_get(system, "$", _LIST)
+    parts = js.as_list(system)
     whole = canonical(system)
-    # A single text must not be read as a list of one, so the kind decides.
     return (
-        F.when(js.kind_of(system) == "array", F.transform(parts, lambda p: _wrapped("system", canonical(p))))
+        F.when(parts.isNotNull(), F.transform(parts, lambda p: _wrapped("system", canonical(p))))
         .when(whole.isNotNull() & ~whole.isin(EMPTY_JSON), F.array(_wrapped("system", whole)))
         .otherwise(_no_blocks())
     )
@@ -60,7 +56,7 @@ def _system_blocks(request: Column) -> Column:
 
 def _message_blocks(message: Column) -> Column:
     content = F.try_variant_get(message, "$.content", "variant")
-    parts = F.try_variant_get(content, "$", _LIST)
+    parts = js.as_list(content)
     role = F.coalesce(
         canonical(F.try_variant_get(message, "$.role", "variant")),
         canonical(F.try_variant_get(message, "$.type", "variant")),
@@ -68,10 +64,9 @@ def _message_blocks(message: Column) -> Column:
     )
     first = F.concat(F.lit('{"part":'), canonical(F.get(parts, F.lit(0))), F.lit(',"role":'), role, F.lit("}"))
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), canonical)
-    listed = (js.kind_of(content) == "array") & (F.size(parts) > 0)
     return (
-        F.when(js.kind_of(message) != "object", F.array(canonical(message)))
-        .when(listed, F.concat(F.array(first), rest))
+        F.when(js.as_object(message).isNull(), F.array(canonical(message)))
+        .when(F.size(parts) > 0, F.concat(F.array(first), rest))
         .otherwise(F.array(without(message, CACHE_MARKS)))
     )
 
@@ -82,20 +77,20 @@ def prompt_blocks(request: Column) -> Column:
         js.get(request, "input", "variant")
     )
     lone = F.concat(F.lit('{"content":'), canonical(messages), F.lit(',"role":"user"}'))
-    listed = F.flatten(F.transform(F.try_variant_get(messages, "$", _LIST), _message_blocks))
-    kind = js.kind_of(messages)
+    listed = F.flatten(F.transform(js.as_list(messages), _message_blocks))
+    is_text = canonical(messages).startswith('"')
     return F.concat(
         _optional_block(request, "tools"),
         _optional_block(request, "response_format"),
         _optional_block(request, "text"),
         _system_blocks(request),
-        F.when(kind == "string", F.array(lone)).when(kind == "array", listed).otherwise(_no_blocks()),
+        F.when(is_text, F.array(lone)).otherwise(F.coalesce(listed, _no_blocks())),
     )
 
 
 def fingerprint(request: Column, salt: bytes) -> Column:
     """Fingerprint struct of a body; NULL fields where there is no body."""
-    present = js.kind_of(request) == "object"
+    present = js.as_object(request).isNotNull()
     return keyed_fingerprint(
         F.when(present, prompt_blocks(request)), F.when(present, without(request, TRANSPORT_FIELDS)), salt
     )
@@ -105,7 +100,7 @@ def redacted_lines(lines: DataFrame, salt: bytes) -> DataFrame:
     """Log lines (``rec`` VARIANT) with request and response text replaced by the fingerprint."""
     request = js.get(F.col("rec"), "request", "variant")
     stamped = lines.withColumn("fp", fingerprint(request, salt))
-    kept = F.map_filter(F.try_variant_get("rec", "$", _FIELDS), lambda k, _: ~k.isin(TEXT_FIELDS))
+    kept = F.map_filter(js.as_object(F.col("rec")), lambda k, _: ~k.isin(TEXT_FIELDS))
     added = F.map_from_arrays(F.array(F.lit("fingerprint")), F.array(F.to_variant_object("fp")))
     base = F.when(
         F.col("fp.request_hash").isNotNull(),

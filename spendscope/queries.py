@@ -125,7 +125,9 @@ def src_request_log(spark, sf_dir):
 def usage_shape_map(spark, sf_dir):
     records = _log_records(spark, sf_dir).filter(request_log.has_usage(F.col("rec")))
     vendor = identity.vendor_of(js.text(F.col("rec"), "model"))
-    tokens = request_log.usage_tokens(js.get(F.col("rec"), "usage", "variant"), vendor)
+    usage = js.get(F.col("rec"), "usage", "variant")
+    records = records.withColumns({"vendor": vendor, "usage": usage, "typed": js.get(F.col("rec"), "usage", request_log.USAGE)})
+    tokens = request_log.usage_tokens(F.col("typed"), F.col("usage"), F.col("vendor"))
     return records.select("seq", *[c.alias(n) for n, c in tokens.items()])
 
 

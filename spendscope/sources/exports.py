@@ -17,6 +17,15 @@ BUCKETS = (
     "array<struct<start_time:bigint,end_time:bigint,starting_at:string,ending_at:string,results:array<variant>>>"
 )
 PAGE = f"struct<data:{BUCKETS}>"
+# Every field the exports carry, as one type: a result is cast once and its fields are read from the struct.
+RESULT = (
+    "struct<object:string,model:string,project_id:string,api_key_id:string,user_id:string,workspace_id:string,"
+    "num_model_requests:bigint,batch:boolean,service_tier:string,speed:string,inference_geo:string,"
+    "context_window:string,input_tokens:bigint,input_cached_tokens:bigint,input_cache_write_tokens:bigint,"
+    "input_uncached_tokens:bigint,output_tokens:bigint,uncached_input_tokens:bigint,cache_read_input_tokens:bigint,"
+    "cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,"
+    "server_tool_use:struct<web_search_requests:bigint>,amount:variant,line_item:string,description:string>"
+)
 
 # Result kinds of the exports.
 OPENAI_COMPLETIONS = "organization.usage.completions.result"
@@ -47,26 +56,29 @@ def results(pages: DataFrame) -> DataFrame:
         "bucket_no",
         *[F.col(f"bucket.{c}").alias(c) for c in ("start_time", "end_time", "starting_at", "ending_at")],
         F.posexplode("bucket.results").alias("result_no", "r"),
-    )
+    ).withColumn("v", F.try_variant_get("r", "$", RESULT))
+
+
+def _v(path: str) -> Column:
+    return F.col(f"v.{path}")
 
 
-def _r() -> Column:
-    return F.col("r")
+def _n(path: str) -> Column:
+    return F.coalesce(_v(path), F.lit(0).cast("bigint"))
 
 
 def _object() -> Column:
-    return F.coalesce(js.text(_r(), "object"), F.lit(""))
+    return F.coalesce(_v("object"), F.lit(""))
 
 
 def detect_kind(pages: DataFrame) -> DataFrame:
     """Kind of every source, from its first result: one minimum per source, combined map-side."""
-    r = _r()
     kind = (
         F.when(_object() == OPENAI_COSTS, "openai_costs")
         .when(_object() == OPENAI_EMBEDDINGS, "openai_embeddings")
         .when(_object().startswith(OPENAI_USAGE_FAMILY), "openai_usage")
-        .when(js.has_key(r, "uncached_input_tokens"), "anthropic_usage")
-        .when(js.has_key(r, "amount") & js.has_key(r, "currency"), "anthropic_costs")
+        .when(js.has_key(F.col("r"), "uncached_input_tokens"), "anthropic_usage")
+        .when(js.has_key(F.col("r"), "amount") & js.has_key(F.col("r"), "currency"), "anthropic_costs")
         .otherwise("unknown")
     )
     position = F.struct("page_seq", "bucket_no", "result_no")
@@ -76,17 +88,16 @@ def detect_kind(pages: DataFrame) -> DataFrame:
 
 
 def _openai_bucket() -> list[Column]:
-    r = _r()
     return [
         F.timestamp_seconds("start_time").alias("timestamp"),
         (F.col("end_time") - F.col("start_time")).alias("bucket_seconds"),
         F.lit("bucket").alias("granularity"),
         F.lit("openai").alias("vendor"),
-        first_non_blank(js.text(r, "model"), default="unknown").alias("model"),
+        first_non_blank(_v("model"), default="unknown").alias("model"),
         first_non_blank(
-            js.text(r, "project_id"), js.text(r, "api_key_id"), js.text(r, "user_id"), default="all"
+            _v("project_id"), _v("api_key_id"), _v("user_id"), default="all"
         ).alias("workload"),
-        js.whole_number(r, "num_model_requests").alias("requests"),
+        _n("num_model_requests").alias("requests"),
         "source",
         F.col("page_seq").alias("seq"),
     ]
@@ -94,17 +105,16 @@ def _openai_bucket() -> list[Column]:
 
 def openai_usage(found: DataFrame) -> DataFrame:
     """Completions usage; ``input_tokens`` includes cached and cache-write tokens."""
-    r = _r()
-    cached, written = js.whole_number(r, "input_cached_tokens"), js.whole_number(r, "input_cache_write_tokens")
-    left = F.greatest(js.whole_number(r, "input_tokens") - cached - written, F.lit(0))
+    cached, written = _n("input_cached_tokens"), _n("input_cache_write_tokens")
+    left = F.greatest(_n("input_tokens") - cached - written, F.lit(0))
     return as_usage(
         found.filter(_object() == OPENAI_COMPLETIONS).select(
             *_openai_bucket(),
-            openai_tier(js.get(r, "batch", "boolean"), js.text(r, "service_tier")).alias("service_tier"),
-            F.coalesce(js.get(r, "input_uncached_tokens", "bigint"), left).alias("uncached_input_tokens"),
+            openai_tier(_v("batch"), _v("service_tier")).alias("service_tier"),
+            F.coalesce(_v("input_uncached_tokens"), left).alias("uncached_input_tokens"),
             cached.alias("cache_read_tokens"),
             written.alias("cache_write_tokens"),
-            js.whole_number(r, "output_tokens").alias("output_tokens"),
+            _n("output_tokens").alias("output_tokens"),
         )
     )
 
@@ -114,7 +124,7 @@ def openai_embeddings(found: DataFrame) -> DataFrame:
         found.filter(_object() == OPENAI_EMBEDDINGS).select(
             *_openai_bucket(),
             F.lit("embedding").alias("product"),
-            js.whole_number(_r(), "input_tokens").alias("uncached_input_tokens"),
+            _n("input_tokens").alias("uncached_input_tokens"),
         )
     )
 
@@ -124,8 +134,8 @@ def openai_costs(found: DataFrame) -> DataFrame:
         found.select(
             F.to_date(F.timestamp_seconds("start_time")).alias("date"),
             F.lit("openai").alias("vendor"),
-            js.text(_r(), "line_item").alias("line_item"),
-            F.coalesce(js.get(_r(), "amount.value", "double"), F.lit(0.0)).alias("amount_usd"),
+            _v("line_item").alias("line_item"),
+            F.coalesce(js.get(_v("amount"), "value", "double"), F.lit(0.0)).alias("amount_usd"),
             "source",
         )
     )
@@ -133,7 +143,6 @@ def openai_costs(found: DataFrame) -> DataFrame:
 
 def anthropic_usage(found: DataFrame) -> DataFrame:
     """Messages usage; input tokens exclude cache reads and writes."""
-    r = _r()
     start, end = F.try_to_timestamp("starting_at"), F.try_to_timestamp("ending_at")
     return as_usage(
         found.select(
@@ -141,16 +150,16 @@ def anthropic_usage(found: DataFrame) -> DataFrame:
             (F.unix_timestamp(end) - F.unix_timestamp(start)).alias("bucket_seconds"),
             F.lit("bucket").alias("granularity"),
             F.lit("anthropic").alias("vendor"),
-            first_non_blank(js.text(r, "model"), default="unknown").alias("model"),
-            first_non_blank(js.text(r, "workspace_id"), js.text(r, "api_key_id"), default="default").alias("workload"),
-            anthropic_tier(js.text(r, "service_tier"), js.text(r, "speed")).alias("service_tier"),
-            js.text(r, "inference_geo").alias("inference_geo"),
-            js.whole_number(r, "uncached_input_tokens").alias("uncached_input_tokens"),
-            js.whole_number(r, "cache_read_input_tokens").alias("cache_read_tokens"),
-            js.whole_number(r, "cache_creation.ephemeral_5m_input_tokens").alias("cache_write_tokens"),
-            js.whole_number(r, "cache_creation.ephemeral_1h_input_tokens").alias("cache_write_1h_tokens"),
-            js.whole_number(r, "output_tokens").alias("output_tokens"),
-            js.whole_number(r, "server_tool_use.web_search_requests").alias("web_search_requests"),
+            first_non_blank(_v("model"), default="unknown").alias("model"),
+            first_non_blank(_v("workspace_id"), _v("api_key_id"), default="default").alias("workload"),
+            anthropic_tier(_v("service_tier"), _v("speed")).alias("service_tier"),
+            _v("inference_geo").alias("inference_geo"),
+            _n("uncached_input_tokens").alias("uncached_input_tokens"),
+            _n("cache_read_input_tokens").alias("cache_read_tokens"),
+            _n("cache_creation.ephemeral_5m_input_tokens").alias("cache_write_tokens"),
+            _n("cache_creation.ephemeral_1h_input_tokens").alias("cache_write_1h_tokens"),
+            _n("output_tokens").alias("output_tokens"),
+            _n("server_tool_use.web_search_requests").alias("web_search_requests"),
             "source",
             F.col("page_seq").alias("seq"),
         )
@@ -159,12 +168,12 @@ def anthropic_usage(found: DataFrame) -> DataFrame:
 
 def anthropic_costs(found: DataFrame) -> DataFrame:
     """Cost report; amounts are decimal strings in cents."""
-    cents = F.coalesce(js.get(_r(), "amount", "double"), F.lit(0.0))
+    cents = F.coalesce(F.try_variant_get(_v("amount"), "$", "double"), F.lit(0.0))
     return as_invoice(
         found.select(
             F.to_date(F.try_to_timestamp("starting_at")).alias("date"),
             F.lit("anthropic").alias("vendor"),
-            js.text(_r(), "description").alias("line_item"),
+            _v("description").alias("line_item"),
             (cents / F.lit(100.0)).alias("amount_usd"),
             "source",
         )
@@ -182,5 +191,5 @@ def skipped_results(found: DataFrame) -> DataFrame:
 
 def long_context_rows(found: DataFrame) -> DataFrame:
     """Rows on the long context window, which are priced at standard rates."""
-    flagged = js.text(_r(), "context_window") == LONG_CONTEXT_WINDOW
+    flagged = _v("context_window") == LONG_CONTEXT_WINDOW
     return found.filter(flagged).groupBy("source").agg(F.count(F.lit(1)).alias("n"))

@@ -42,21 +42,39 @@ def without_eval_files(records: DataFrame) -> DataFrame:
 
 
 def has_usage(rec: Column) -> Column:
-    return F.coalesce(js.kind_of(js.get(rec, "usage", "variant")) == "object", F.lit(False))
+    return js.get(rec, "usage", "map<string,variant>").isNotNull()
 
 
-def usage_tokens(usage: Column, vendor: Column) -> dict[str, Column]:
+# All three usage shapes as one type; a usage object is cast once and its fields are read from the struct.
+USAGE = """struct<
+    prompt_tokens:bigint, completion_tokens:bigint, input_tokens:bigint, output_tokens:bigint,
+    prompt_tokens_details:struct<cached_tokens:bigint,cache_write_tokens:bigint>,
+    completion_tokens_details:struct<reasoning_tokens:bigint>,
+    input_tokens_details:struct<cached_tokens:bigint,cache_write_tokens:bigint>,
+    output_tokens_details:struct<reasoning_tokens:bigint,thinking_tokens:bigint>,
+    cache_read_input_tokens:bigint, cache_creation_input_tokens:bigint,
+    cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,
+    server_tool_use:struct<web_search_requests:bigint>>""".replace("\n", " ").replace("  ", "")
+
+
+def usage_tokens(typed: Column, usage: Column, vendor: Column) -> dict[str, Column]:
     """Token columns out of a Chat Completions, Messages or Responses usage object.
 
-    The key ``prompt_tokens`` selects the first shape whatever the vendor; the vendor decides the rest.
+    ``typed`` is the object cast to ``USAGE``. The key ``prompt_tokens`` selects the first shape whatever the
+    vendor (even when it is null, so the untyped object is asked); the vendor decides the rest.
     """
-    n = lambda path: js.whole_number(usage, path)
+
+    def n(path: str) -> Column:
+        value = typed
+        for name in path.split("."):
+            value = value[name]
+        return F.coalesce(value, F.lit(0).cast("bigint"))
+
     chat = js.has_key(usage, "prompt_tokens")
     messages = vendor == "anthropic"
     chat_cached, chat_written = n("prompt_tokens_details.cached_tokens"), n("prompt_tokens_details.cache_write_tokens")
     cached, written = n("input_tokens_details.cached_tokens"), n("input_tokens_details.cache_write_tokens")
-    split = F.to_json(js.get(usage, "cache_creation", "variant"))
-    has_split = F.coalesce(split.startswith("{") & (split != "{}"), F.lit(False))
+    has_split = F.coalesce(F.size(js.get(usage, "cache_creation", "map<string,variant>")) > 0, F.lit(False))
     write_5m = F.when(has_split, n("cache_creation.ephemeral_5m_input_tokens")).otherwise(
         n("cache_creation_input_tokens")
     )
@@ -90,7 +108,9 @@ def request_rows(records: DataFrame, salt: bytes | None = None) -> DataFrame:
     rec = F.col("rec")
     usage = js.get(rec, "usage", "variant")
     model = first_non_blank(js.text(rec, "model"), default="unknown")
-    rows = records.filter(has_usage(rec)).withColumns({"usage": usage, "model": model})
+    rows = records.filter(has_usage(rec)).withColumns(
+        {"usage": usage, "tokens": js.get(rec, "usage", USAGE), "model": model}
+    )
     rows = rows.withColumn("vendor", F.coalesce(F.nullif(js.text(rec, "vendor"), F.lit("")), vendor_of("model")))
     given = js.get(rec, "fingerprint", "variant")
     is_given = given.isNotNull() & ~F.is_variant_null(given)
@@ -127,7 +147,7 @@ def request_rows(records: DataFrame, salt: bytes | None = None) -> DataFrame:
             ),
             F.try_variant_get(status, "$", "string").alias("status"),
             js.kind_of(status).alias("status_type"),
-            *[col.alias(name) for name, col in usage_tokens(F.col("usage"), F.col("vendor")).items()],
+            *[col.alias(name) for name, col in usage_tokens(F.col("tokens"), F.col("usage"), F.col("vendor")).items()],
             "source",
             "seq",
         )

@@ -182,7 +182,8 @@ def test_usage_shapes(spark):
     }
     df = spark.createDataFrame([(k, v) for k, v in shapes.items()], "name string, text string")
     vendor = F.when(F.col("name").startswith("anthropic"), "anthropic").otherwise("openai")
-    tokens = request_log.usage_tokens(F.parse_json("text"), vendor)
+    usage = F.parse_json("text")
+    tokens = request_log.usage_tokens(F.try_variant_get(usage, "$", request_log.USAGE), usage, vendor)
     rows = {r.name: r for r in df.select("name", *[c.alias(n) for n, c in tokens.items()]).collect()}
     got = lambda n: tuple(rows[n][1:7])
     assert got("chat") == (1416, 3072, 512, 0, 300, 100)
