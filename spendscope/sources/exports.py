@@ -1,6 +1,6 @@
 """Vendor usage and cost exports: pages of time buckets of results.
 
-``pages`` frames have (source, page_seq, data); ``results`` frames have one VARIANT result per row with its
+``pages`` frames have (source, page_seq, data); ``results`` frames have one result per row with its
 bucket bounds and its position, so everything after the reader is a narrow projection.
 """
 
@@ -9,23 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.functions import json_values as js
 from spendscope.functions.identity import anthropic_tier, openai_tier
 from spendscope.schema import as_invoice, as_usage, first_non_blank
 
-BUCKETS = (
-    "array<struct<start_time:bigint,end_time:bigint,starting_at:string,ending_at:string,results:array<variant>>>"
-)
-PAGE = f"struct<data:{BUCKETS}>"
-# Every field the exports carry, as one type: a result is cast once and its fields are read from the struct.
+# Every field the exports carry, as one type: pages are parsed once, straight into columns. ``amount`` is an
+# object in one export and a text in the other; as STRING it holds either.
 RESULT = (
     "struct<object:string,model:string,project_id:string,api_key_id:string,user_id:string,workspace_id:string,"
     "num_model_requests:bigint,batch:boolean,service_tier:string,speed:string,inference_geo:string,"
     "context_window:string,input_tokens:bigint,input_cached_tokens:bigint,input_cache_write_tokens:bigint,"
     "input_uncached_tokens:bigint,output_tokens:bigint,uncached_input_tokens:bigint,cache_read_input_tokens:bigint,"
     "cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,"
-    "server_tool_use:struct<web_search_requests:bigint>,amount:variant,line_item:string,description:string>"
+    "server_tool_use:struct<web_search_requests:bigint>,amount:string,currency:string,line_item:string,"
+    "description:string>"
 )
+BUCKETS = (
+    "array<struct<start_time:bigint,end_time:bigint,starting_at:string,ending_at:string,"
+    f"results:array<{RESULT}>>>"
+)
+PAGE = f"struct<data:{BUCKETS}>"
 
 # Result kinds of the exports.
 OPENAI_COMPLETIONS = "organization.usage.completions.result"
@@ -49,14 +51,16 @@ def pages_from_text(texts: DataFrame) -> DataFrame:
 
 
 def results(pages: DataFrame) -> DataFrame:
-    buckets = pages.select("source", "page_seq", F.posexplode("data").alias("bucket_no", "bucket"))
+    """One row per result. The outer form of explode keeps the planner from adding a filter on the array,
+    which would parse every page a second time."""
+    buckets = pages.select("source", "page_seq", F.posexplode_outer("data").alias("bucket_no", "bucket"))
     return buckets.select(
         "source",
         "page_seq",
         "bucket_no",
         *[F.col(f"bucket.{c}").alias(c) for c in ("start_time", "end_time", "starting_at", "ending_at")],
-        F.posexplode("bucket.results").alias("result_no", "r"),
-    ).withColumn("v", F.try_variant_get("r", "$", RESULT))
+        F.posexplode_outer("bucket.results").alias("result_no", "v"),
+    ).filter(F.col("v").isNotNull())
 
 
 def _v(path: str) -> Column:
@@ -77,8 +81,8 @@ def detect_kind(pages: DataFrame) -> DataFrame:
         F.when(_object() == OPENAI_COSTS, "openai_costs")
         .when(_object() == OPENAI_EMBEDDINGS, "openai_embeddings")
         .when(_object().startswith(OPENAI_USAGE_FAMILY), "openai_usage")
-        .when(js.has_key(F.col("r"), "uncached_input_tokens"), "anthropic_usage")
-        .when(js.has_key(F.col("r"), "amount") & js.has_key(F.col("r"), "currency"), "anthropic_costs")
+        .when(_v("uncached_input_tokens").isNotNull(), "anthropic_usage")
+        .when(_v("amount").isNotNull() & _v("currency").isNotNull(), "anthropic_costs")
         .otherwise("unknown")
     )
     position = F.struct("page_seq", "bucket_no", "result_no")
@@ -135,7 +139,7 @@ def openai_costs(found: DataFrame) -> DataFrame:
             F.to_date(F.timestamp_seconds("start_time")).alias("date"),
             F.lit("openai").alias("vendor"),
             _v("line_item").alias("line_item"),
-            F.coalesce(js.get(_v("amount"), "value", "double"), F.lit(0.0)).alias("amount_usd"),
+            F.coalesce(F.get_json_object(_v("amount"), "$.value").try_cast("double"), F.lit(0.0)).alias("amount_usd"),
             "source",
         )
     )
@@ -168,7 +172,7 @@ def anthropic_usage(found: DataFrame) -> DataFrame:
 
 def anthropic_costs(found: DataFrame) -> DataFrame:
     """Cost report; amounts are decimal strings in cents."""
-    cents = F.coalesce(F.try_variant_get(_v("amount"), "$", "double"), F.lit(0.0))
+    cents = F.coalesce(_v("amount").try_cast("double"), F.lit(0.0))
     return as_invoice(
         found.select(
             F.to_date(F.try_to_timestamp("starting_at")).alias("date"),
