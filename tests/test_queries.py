@@ -1,0 +1,23 @@
+"""Registered queries against their SQL on the smallest tables (the full comparison: ``python -m oracle.check``)."""
+
+import os
+
+import pytest
+
+from __spark_entry__ import oracle_sql, queries
+from oracle.check import compare, connect
+
+SF_DIR = "/root/testdata/sf0.001"
+CHECKED = ["priced_usage", "reconcile", "cache_replay", "duplicate_calls", "levers", "lever_evidence", "summary", "plan_cache", "eval_items", "fp_prefixes"]
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not mounted")
+
+
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_query_matches_sql(spark, name):
+    problem = compare(connect(SF_DIR), spark, SF_DIR, queries()[name], oracle_sql()[name])
+    assert problem is None, problem
