@@ -37,6 +37,7 @@ EDGES = "\"'()[]{}<>.,;:!?"
 CONTEXT = 64
 LEAST_SEEDS, LEAST_CONFIDENCE, ROUNDS = 5, 0.8, 3
 STRIDE = 256
+SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 
 
 def prefix_sums(values: Column) -> Column:
@@ -102,6 +103,17 @@ def _located(rows: DataFrame, hits: str, pattern: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(some, F.transform(hits, place))).drop(gaps, at, hits)
 
 
+def _kept(k: int, kind: str) -> Column:
+    """The spans of a kind that pass its test, with the kind's number."""
+
+    def numbered(s: Column) -> Column:
+        names = ("end", "value", "before", "after")
+        return F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), *[s[x].alias(x) for x in names])
+
+    spans = F.coalesce(F.col(f"{kind}_spans"), F.array().cast(SPANS))
+    return F.transform(F.filter(spans, lambda s: _passes(kind, s["value"])), numbered)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))), 256)
 
@@ -119,12 +131,7 @@ def located(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.when(digit, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     for kind, pattern in (*PATTERNS.items(), ("other", CANDIDATE)):
         rows = _located(rows, kind, pattern, f"{kind}_spans")
-    base = [
-        F.transform(F.filter(F.coalesce(F.col(f"{kind}_spans"), F.array().cast(SPANS)), lambda s, k=kind: _passes(k, s["value"])), lambda s, k=k: F.struct(
-            s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")
-        ))
-        for k, kind in enumerate(KINDS)
-    ]
+    base = [_kept(k, kind) for k, kind in enumerate(KINDS)]
     rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
 
     def trimmed(s: Column) -> Column:
@@ -138,9 +145,6 @@ def located(docs: DataFrame) -> DataFrame:
     return rows.select("row_key", "doc_id", "base", other.alias("other"))
 
 
-SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
-
-
 def _edges(rows: DataFrame, spans: str, kind: Column) -> DataFrame:
     """(kind, string, pattern): a row for either neighbour of each span."""
     s = rows.select(F.explode(spans).alias("s"))
@@ -192,7 +196,8 @@ def spelled(spans: str) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row: counts by kind and digest of the base spans, and all spans."""
-    counts = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    kinds = F.transform("base", lambda b: b["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return find(docs).select("doc_id", *counts, F.sha2(spelled("base").cast("binary"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 

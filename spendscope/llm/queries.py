@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendscope.llm import decontaminate, jaccard_join, language_id, packing, pii, secrets, token_counts, token_files, vector_join
+from spendscope.llm import decontaminate, jaccard_join, language_id, packing, pii, secrets, substring_dedup, token_counts, token_files, vector_join
 from spendscope.llm.common import table
 
 
@@ -49,10 +49,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_pii, op3_packing, op4_secrets, op5_jaccard_join,
         op6_decontaminate, op7_vector_join, op8_token_counts, op9_token_files,
+        op10_substring_dedup,
     )
     return {f.__name__: f for f in found}
 
