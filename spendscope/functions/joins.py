@@ -12,7 +12,7 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) ->
     """Hint a broadcast only once the side has been counted and found small.
 
     Beyond ``max_rows`` the frame is returned without a hint: Spark then shuffles both sides and adaptive
-    execution splits the partitions of a hot key. The frame must be narrow (a key and a few numbers).
+    execution splits the partitions of a hot key. The frame must be narrow (a key and a few numbers), and cheap to
+    compute twice: a written table or a small aggregate. Nothing stays cached.
     """
-    small = small.persist()
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small

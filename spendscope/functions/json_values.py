@@ -14,9 +14,40 @@ def text(doc: Column, path: str) -> Column:
     return get(doc, path, "string")
 
 
-def whole_number(doc: Column, path: str) -> Column:
-    """Missing, null and unreadable values count as 0."""
-    return F.coalesce(get(doc, path, "bigint"), F.lit(0).cast("bigint"))
+def _refused(what: str, text: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"unreadable {what}: "), F.coalesce(text, F.lit("null"))))
+
+
+def whole(text: Column, name: str) -> Column:
+    """A count out of its JSON text: missing, null and empty are 0, ``1000.0`` and ``"1000"`` are 1000, anything else
+    stops the load. Nothing is read as 0 without a word."""
+    plain, number = text.try_cast("bigint"), text.try_cast("double")
+    return (
+        F.when(text.isNull() | (F.trim(text) == ""), F.lit(0).cast("bigint"))
+        .when(plain.isNotNull(), plain)
+        .when(F.abs(number) < 9e18, number.cast("bigint"))
+        .otherwise(_refused(f"number in {name}", text).cast("bigint"))
+    )
+
+
+def real(text: Column, name: str) -> Column:
+    """An amount out of its text, by the same rules."""
+    number = text.try_cast("double")
+    return (
+        F.when(text.isNull() | (F.trim(text) == ""), F.lit(0.0))
+        .when(F.abs(number) < F.lit(float("inf")), number)
+        .otherwise(_refused(f"amount in {name}", text).cast("double"))
+    )
+
+
+def moment(text: Column) -> Column:
+    """Unix seconds or ISO-8601 as text -> TIMESTAMP in UTC; anything else, null included, stops the load."""
+    seconds = text.try_cast("double")
+    return (
+        F.when(seconds.isNotNull(), F.timestamp_seconds(seconds))
+        .when(F.try_to_timestamp(text).isNotNull(), F.try_to_timestamp(text))
+        .otherwise(_refused("timestamp", text).cast("timestamp"))
+    )
 
 
 _NUMBERS = r"^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
@@ -46,7 +77,10 @@ def has_key(doc: Column, key: str) -> Column:
 
 
 def instant(value: Column) -> Column:
-    """Unix seconds (a JSON number) or ISO-8601 text -> TIMESTAMP in UTC."""
-    return F.when(
-        kind_of(value) == "number", F.timestamp_seconds(F.try_variant_get(value, "$", "double"))
-    ).otherwise(F.try_to_timestamp(F.try_variant_get(value, "$", "string")))
+    """Unix seconds (a JSON number) or ISO-8601 text -> TIMESTAMP in UTC; anything else stops the load."""
+    text = F.try_variant_get(value, "$", "string")
+    return (
+        F.when(kind_of(value) == "number", F.timestamp_seconds(F.try_variant_get(value, "$", "double")))
+        .when(F.try_to_timestamp(text).isNotNull(), F.try_to_timestamp(text))
+        .otherwise(_refused("timestamp", text).cast("timestamp"))
+    )

@@ -7,6 +7,8 @@ the real number of bytes). The folder is the one the cluster names in ``spark.ch
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spendscope-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set(CHECKPOINT_DIR, own)
     return own
 

@@ -1,28 +1,48 @@
-"""Normalised CSV files: the usage table as text, with optional columns."""
+"""Normalised CSV files: the usage table as text, with optional columns, each file by its own header."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendscope.functions import json_values as js
 from spendscope.functions.identity import vendor_of
 from spendscope.schema import TOKEN_COLUMNS, USAGE_COLUMNS, as_usage
 
 REQUIRED = ["timestamp", "model", "uncached_input_tokens", "output_tokens"]
 # Sequence numbers of CSV rows start here, so they never meet those of request-log lines.
 SEQ_OFFSET = 1 << 61
+# Of files with another header the numbers start so much higher; a monotonic id stays below 2**53 for 2**20 partitions.
+SEQ_STEP = 1 << 53
+
+
+def files_by_header(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
+    """Paths of the files, those with one header together. A line and a path of each file reach the driver, which
+    lists the files anyway."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
+    headers = lines.groupBy("path").agg(F.min_by("value", "seq").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in headers.orderBy("path").collect():
+        groups.setdefault(row["header"], []).append(row["path"])
+    return list(groups.values())
 
 
 def read_usage_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files of one header. Blank cells arrive as NULL; only missing columns get the defaults."""
-    raw = spark.read.option("header", True).csv(paths)
-    return usage_from_cells(
-        raw.select(
+    """Blank cells arrive as NULL; only missing columns get the defaults."""
+
+    def cells(files: list[str], offset: int) -> DataFrame:
+        raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(files)
+        placed = raw.select(
             "*",
             F.col("_metadata.file_name").alias("__source"),
-            (F.monotonically_increasing_id() + F.lit(SEQ_OFFSET)).alias("__seq"),
-        ).drop("source", "seq").withColumnsRenamed({"__source": "source", "__seq": "seq"})
-    )
+            (F.monotonically_increasing_id() + F.lit(SEQ_OFFSET + offset)).alias("__seq"),
+        )
+        return usage_from_cells(placed.drop("source", "seq").withColumnsRenamed({"__source": "source", "__seq": "seq"}))
+
+    groups = files_by_header(spark, paths)
+    return reduce(DataFrame.unionByName, [cells(files, k * SEQ_STEP) for k, files in enumerate(groups)])
 
 
 def usage_from_cells(cells: DataFrame) -> DataFrame:
@@ -36,11 +56,11 @@ def usage_from_cells(cells: DataFrame) -> DataFrame:
         if name not in cells.columns or dtype.startswith("array"):
             continue
         if name == "timestamp":
-            typed[name] = F.try_to_timestamp("timestamp")
+            typed[name] = js.moment(F.col("timestamp"))
         elif name in whole:
-            typed[name] = F.coalesce(F.col(name).try_cast("double").cast("bigint"), F.lit(0))
+            typed[name] = js.whole(F.col(name), name)
         elif dtype == "bigint":
-            typed[name] = F.col(name).try_cast("double").cast("bigint")
+            typed[name] = F.when(F.col(name).isNotNull(), js.whole(F.col(name), name))
         else:
             typed[name] = F.col(name).try_cast(dtype)
     rows = cells.withColumns(typed).drop("prefix_hashes", "prefix_chars")

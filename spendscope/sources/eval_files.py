@@ -13,9 +13,9 @@ from spendscope.sources.request_log import numbered_bad_lines, parsed, read_line
 def read_eval_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Parsed lines; a line that is not JSON is an error that names file and line."""
     lines = read_lines(spark, paths)
-    bad = numbered_bad_lines(lines).orderBy("source", "line_no").limit(1).collect()
+    bad = numbered_bad_lines(lines).orderBy("path", "line_no").limit(1).collect()
     if bad:
-        raise ValueError(f"{bad[0].source}:{bad[0].line_no}: invalid JSON")
+        raise ValueError(f"{bad[0].path}:{bad[0].line_no}: invalid JSON")
     return parsed(lines)
 
 

@@ -1,7 +1,9 @@
 """Vendor usage and cost exports: pages of time buckets of results.
 
-``pages`` frames have (source, page_seq, data); ``results`` frames have one result per row with its
-bucket bounds and its position, so everything after the reader is a narrow projection.
+``pages`` frames have (source, path, page_seq, data); ``results`` frames have one result per row with its
+bucket bounds and its position, so everything after the reader is a narrow projection. The path tells files apart;
+the source, a bare name, only groups rows into periods. Numbers arrive as their JSON texts and are read by
+``json_values``, which stops at what it can't read; a file that is not JSON stops the reader.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendscope.functions import json_values as js
 from spendscope.functions.identity import anthropic_tier, openai_tier
 from spendscope.schema import as_invoice, as_usage, first_non_blank
 
@@ -16,15 +19,15 @@ from spendscope.schema import as_invoice, as_usage, first_non_blank
 # object in one export and a text in the other; as STRING it holds either.
 RESULT = (
     "struct<object:string,model:string,project_id:string,api_key_id:string,user_id:string,workspace_id:string,"
-    "num_model_requests:bigint,batch:boolean,service_tier:string,speed:string,inference_geo:string,"
-    "context_window:string,input_tokens:bigint,input_cached_tokens:bigint,input_cache_write_tokens:bigint,"
-    "input_uncached_tokens:bigint,output_tokens:bigint,uncached_input_tokens:bigint,cache_read_input_tokens:bigint,"
-    "cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,"
-    "server_tool_use:struct<web_search_requests:bigint>,amount:string,currency:string,line_item:string,"
+    "num_model_requests:string,batch:boolean,service_tier:string,speed:string,inference_geo:string,"
+    "context_window:string,input_tokens:string,input_cached_tokens:string,input_cache_write_tokens:string,"
+    "input_uncached_tokens:string,output_tokens:string,uncached_input_tokens:string,cache_read_input_tokens:string,"
+    "cache_creation:struct<ephemeral_5m_input_tokens:string,ephemeral_1h_input_tokens:string>,"
+    "server_tool_use:struct<web_search_requests:string>,amount:string,currency:string,line_item:string,"
     "description:string>"
 )
 BUCKETS = (
-    "array<struct<start_time:bigint,end_time:bigint,starting_at:string,ending_at:string,"
+    "array<struct<start_time:string,end_time:string,starting_at:string,ending_at:string,"
     f"results:array<{RESULT}>>>"
 )
 PAGE = f"struct<data:{BUCKETS}>"
@@ -39,23 +42,29 @@ LONG_CONTEXT_WINDOW = "200k-1M"
 
 def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """JSON export files: one page object, or a list of pages, per file."""
-    raw = spark.read.schema(f"data {BUCKETS}").option("multiLine", True).json(paths)
+    raw = spark.read.schema(f"data {BUCKETS}").option("multiLine", True).option("mode", "FAILFAST").json(paths)
     return raw.select(
-        F.col("_metadata.file_name").alias("source"), F.monotonically_increasing_id().alias("page_seq"), "data"
+        F.col("_metadata.file_name").alias("source"),
+        F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("page_seq"),
+        "data",
     )
 
 
 def pages_from_text(texts: DataFrame) -> DataFrame:
-    """(source, page_seq, page) with the page as JSON text -> pages."""
-    return texts.select("source", "page_seq", F.from_json("page", PAGE)["data"].alias("data"))
+    """(source, path, page_seq, page) with the page as JSON text -> pages. Without a path, the source is the file."""
+    path = "path" if "path" in texts.columns else "source"
+    data = F.from_json("page", PAGE, {"mode": "FAILFAST"})["data"]
+    return texts.select("source", F.col(path).alias("path"), "page_seq", data.alias("data"))
 
 
 def results(pages: DataFrame) -> DataFrame:
     """One row per result. The outer form of explode keeps the planner from adding a filter on the array,
     which would parse every page a second time."""
-    buckets = pages.select("source", "page_seq", F.posexplode_outer("data").alias("bucket_no", "bucket"))
+    buckets = pages.select("source", "path", "page_seq", F.posexplode_outer("data").alias("bucket_no", "bucket"))
     return buckets.select(
         "source",
+        "path",
         "page_seq",
         "bucket_no",
         *[F.col(f"bucket.{c}").alias(c) for c in ("start_time", "end_time", "starting_at", "ending_at")],
@@ -68,7 +77,7 @@ def _v(path: str) -> Column:
 
 
 def _n(path: str) -> Column:
-    return F.coalesce(_v(path), F.lit(0).cast("bigint"))
+    return js.whole(_v(path), path)
 
 
 def _object() -> Column:
@@ -76,7 +85,7 @@ def _object() -> Column:
 
 
 def detect_kind(pages: DataFrame) -> DataFrame:
-    """Kind of every source, from its first result: one minimum per source, combined map-side."""
+    """Kind of every file, from its first result: one minimum per file, combined map-side."""
     kind = (
         F.when(_object() == OPENAI_COSTS, "openai_costs")
         .when(_object() == OPENAI_EMBEDDINGS, "openai_embeddings")
@@ -86,15 +95,16 @@ def detect_kind(pages: DataFrame) -> DataFrame:
         .otherwise("unknown")
     )
     position = F.struct("page_seq", "bucket_no", "result_no")
-    first = results(pages).groupBy("source").agg(F.min_by(kind, position).alias("kind"))
-    sources = pages.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"))
-    return sources.join(first, "source", "left").select("source", "n_pages", F.coalesce("kind", F.lit("empty")).alias("kind"))
+    first = results(pages).groupBy("path").agg(F.min_by(kind, position).alias("kind"))
+    files = pages.groupBy("path").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n_pages"))
+    kinds = files.join(first, "path", "left")
+    return kinds.select("path", "source", "n_pages", F.coalesce("kind", F.lit("empty")).alias("kind"))
 
 
 def _openai_bucket() -> list[Column]:
     return [
-        F.timestamp_seconds("start_time").alias("timestamp"),
-        (F.col("end_time") - F.col("start_time")).alias("bucket_seconds"),
+        js.moment(F.col("start_time")).alias("timestamp"),
+        (F.unix_timestamp(js.moment(F.col("end_time"))) - F.unix_timestamp(js.moment(F.col("start_time")))).alias("bucket_seconds"),
         F.lit("bucket").alias("granularity"),
         F.lit("openai").alias("vendor"),
         first_non_blank(_v("model"), default="unknown").alias("model"),
@@ -115,7 +125,7 @@ def openai_usage(found: DataFrame) -> DataFrame:
         found.filter(_object() == OPENAI_COMPLETIONS).select(
             *_openai_bucket(),
             openai_tier(_v("batch"), _v("service_tier")).alias("service_tier"),
-            F.coalesce(_v("input_uncached_tokens"), left).alias("uncached_input_tokens"),
+            F.when(_v("input_uncached_tokens").isNull(), left).otherwise(_n("input_uncached_tokens")).alias("uncached_input_tokens"),
             cached.alias("cache_read_tokens"),
             written.alias("cache_write_tokens"),
             _n("output_tokens").alias("output_tokens"),
@@ -136,10 +146,10 @@ def openai_embeddings(found: DataFrame) -> DataFrame:
 def openai_costs(found: DataFrame) -> DataFrame:
     return as_invoice(
         found.select(
-            F.to_date(F.timestamp_seconds("start_time")).alias("date"),
+            F.to_date(js.moment(F.col("start_time"))).alias("date"),
             F.lit("openai").alias("vendor"),
             _v("line_item").alias("line_item"),
-            F.coalesce(F.get_json_object(_v("amount"), "$.value").try_cast("double"), F.lit(0.0)).alias("amount_usd"),
+            js.real(F.get_json_object(_v("amount"), "$.value"), "amount").alias("amount_usd"),
             "source",
         )
     )
@@ -147,7 +157,7 @@ def openai_costs(found: DataFrame) -> DataFrame:
 
 def anthropic_usage(found: DataFrame) -> DataFrame:
     """Messages usage; input tokens exclude cache reads and writes."""
-    start, end = F.try_to_timestamp("starting_at"), F.try_to_timestamp("ending_at")
+    start, end = js.moment(F.col("starting_at")), js.moment(F.col("ending_at"))
     return as_usage(
         found.select(
             start.alias("timestamp"),
@@ -172,10 +182,10 @@ def anthropic_usage(found: DataFrame) -> DataFrame:
 
 def anthropic_costs(found: DataFrame) -> DataFrame:
     """Cost report; amounts are decimal strings in cents."""
-    cents = F.coalesce(_v("amount").try_cast("double"), F.lit(0.0))
+    cents = js.real(_v("amount"), "amount")
     return as_invoice(
         found.select(
-            F.to_date(F.try_to_timestamp("starting_at")).alias("date"),
+            F.to_date(js.moment(F.col("starting_at"))).alias("date"),
             F.lit("anthropic").alias("vendor"),
             _v("description").alias("line_item"),
             (cents / F.lit(100.0)).alias("amount_usd"),

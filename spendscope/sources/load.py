@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spendscope.functions.hashing import new_salt
 from spendscope.functions.joins import checked_broadcast
+from spendscope.functions.tables import Workspace
 from spendscope.operators import quality
 from spendscope.schema import empty_invoice, empty_usage
 from spendscope.session import prepared
@@ -21,6 +22,11 @@ class Loaded:
     usage: DataFrame
     invoice: DataFrame
     notes: DataFrame
+    space: Workspace
+
+    def release(self) -> None:
+        """Delete the written tables."""
+        self.space.release()
 
 
 def merged(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -38,17 +44,19 @@ def load_usage(
     """Load exports (JSON pages), request logs (JSONL) and normalised CSV files.
 
     The kind of every export is found from its first result. Each kind is one projection over the same
-    exploded results, filtered by the kinds of their sources.
+    exploded results, filtered by the kinds of their files. The usage table is written once to the shared folder: each
+    line is parsed and fingerprinted once, and every table of the analysis reads columns.
     """
     spark = prepared(spark)
+    space = Workspace(spark)
     usage, invoices, notes = [], [], []
     if exports_json:
         pages = exports.read_pages(spark, exports_json)
-        kinds = exports.detect_kind(pages).persist()
-        unknown = [r.source for r in kinds.filter(F.col("kind") == "unknown").select("source").limit(5).collect()]
+        kinds = space.settle(exports.detect_kind(pages), "kinds")
+        unknown = [r.path for r in kinds.filter(F.col("kind") == "unknown").select("path").limit(5).collect()]
         if unknown:
             raise ValueError(f"unrecognised export format: {', '.join(unknown)}")
-        found = exports.results(pages).join(checked_broadcast(kinds.select("source", "kind")), "source")
+        found = exports.results(pages).join(checked_broadcast(kinds.select("path", "kind")), "path")
         of = {k: found.filter(F.col("kind") == k) for k in quality.EXPORT_KINDS}
         usage += [
             exports.openai_usage(of["openai_usage"]),
@@ -62,14 +70,16 @@ def load_usage(
             quality.empty_exports(kinds),
         ]
     if logs_jsonl:
-        records = request_log.parsed(request_log.read_lines(spark, logs_jsonl))
-        records = request_log.without_eval_files(records)
+        lines = request_log.read_lines(spark, logs_jsonl)
+        evals = space.settle(request_log.eval_files(lines), "eval-files")
+        records = request_log.parsed(request_log.without_eval_files(lines, evals))
         usage.append(request_log.request_rows(records, salt or new_salt()))
         notes.append(quality.unusable_lines(request_log.lines_without_usage(records)))
     if usage_csv:
         usage.append(csv_usage.read_usage_csv(spark, usage_csv))
-    frame = merged(usage, empty_usage(spark))
-    if frame.isEmpty():
+    written = Observation("usage")
+    frame = space.settle(merged(usage, empty_usage(spark)).observe(written, F.count(F.lit(1)).alias("rows")), "usage")
+    if not written.get["rows"]:
         raise ValueError("No usage rows loaded")
-    notes.append(quality.usage_notes(spark, frame))
-    return Loaded(frame, merged(invoices, empty_invoice(spark)), merged(notes, quality.no_notes(spark)))
+    notes.append(quality.usage_notes(spark, frame, space.settle))
+    return Loaded(frame, merged(invoices, empty_invoice(spark)), merged(notes, quality.no_notes(spark)), space)

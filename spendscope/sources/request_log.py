@@ -13,16 +13,22 @@ from spendscope.schema import as_usage, first_non_blank
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source, seq, split_start, line); ``seq`` is unique over all files and ordered within a file."""
+    """(source, path, seq, split_start, line); ``seq`` is unique over all files and ordered within a file."""
     raw = spark.read.text(paths)
     return raw.select(
         F.col("_metadata.file_name").alias("source"),
+        F.col("_metadata.file_path").alias("path"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.col("value").alias("line"),
     )
 
 
+def _file(lines: DataFrame) -> str:
+    """Column that tells files apart; tables of lines without a path have one file a source."""
+    return "path" if "path" in lines.columns else "source"
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Add ``rec`` (VARIANT, NULL when the line is not JSON); blank lines are dropped.
 
@@ -33,17 +39,20 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "").withColumn("rec", once)
 
 
-def eval_sources(records: DataFrame) -> DataFrame:
-    """Sources whose first line is an eval case or an eval output rather than a call."""
-    rec = F.col("rec")
+def eval_files(lines: DataFrame) -> DataFrame:
+    """Files whose first line is an eval case or an eval output rather than a call. Only first lines are parsed."""
+    file = _file(lines)
+    first = lines.filter(F.trim("line") != "").groupBy(file).agg(F.min_by("line", "seq").alias("line"))
+    rec = F.try_parse_json("line")
     looks_like_eval = js.has_key(rec, "checks") | (js.has_key(rec, "output") & ~js.has_key(rec, "usage"))
-    first = records.groupBy("source").agg(F.min_by(F.coalesce(looks_like_eval, F.lit(False)), "seq").alias("is_eval"))
-    return first.filter("is_eval").select("source")
+    return first.filter(F.coalesce(looks_like_eval, F.lit(False))).select(file)
 
 
-def without_eval_files(records: DataFrame) -> DataFrame:
-    # One short name per file: broadcast only after counting them.
-    return records.join(checked_broadcast(eval_sources(records)), "source", "left_anti")
+def without_eval_files(lines: DataFrame, evals: DataFrame | None = None) -> DataFrame:
+    """Unparsed lines of the files that are logs; ``evals`` gives the others' paths where they are written already."""
+    # One path per eval file: broadcast only after counting them.
+    evals = eval_files(lines) if evals is None else evals
+    return lines.join(checked_broadcast(evals), _file(lines), "left_anti")
 
 
 def has_usage(rec: Column) -> Column:
@@ -52,14 +61,14 @@ def has_usage(rec: Column) -> Column:
 
 # All three usage shapes as one type; a usage object is cast once and its fields are read from the struct.
 USAGE = """struct<
-    prompt_tokens:bigint, completion_tokens:bigint, input_tokens:bigint, output_tokens:bigint,
-    prompt_tokens_details:struct<cached_tokens:bigint,cache_write_tokens:bigint>,
-    completion_tokens_details:struct<reasoning_tokens:bigint>,
-    input_tokens_details:struct<cached_tokens:bigint,cache_write_tokens:bigint>,
-    output_tokens_details:struct<reasoning_tokens:bigint,thinking_tokens:bigint>,
-    cache_read_input_tokens:bigint, cache_creation_input_tokens:bigint,
-    cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,
-    server_tool_use:struct<web_search_requests:bigint>>""".replace("\n", " ").replace("  ", "")
+    prompt_tokens:string, completion_tokens:string, input_tokens:string, output_tokens:string,
+    prompt_tokens_details:struct<cached_tokens:string,cache_write_tokens:string>,
+    completion_tokens_details:struct<reasoning_tokens:string>,
+    input_tokens_details:struct<cached_tokens:string,cache_write_tokens:string>,
+    output_tokens_details:struct<reasoning_tokens:string,thinking_tokens:string>,
+    cache_read_input_tokens:string, cache_creation_input_tokens:string,
+    cache_creation:struct<ephemeral_5m_input_tokens:string,ephemeral_1h_input_tokens:string>,
+    server_tool_use:struct<web_search_requests:string>>""".replace("\n", " ").replace("  ", "")
 
 
 def usage_tokens(typed: Column, usage: Column, vendor: Column) -> dict[str, Column]:
@@ -73,7 +82,7 @@ def usage_tokens(typed: Column, usage: Column, vendor: Column) -> dict[str, Colu
         value = typed
         for name in path.split("."):
             value = value[name]
-        return F.coalesce(value, F.lit(0).cast("bigint"))
+        return js.whole(value, path)
 
     chat = js.has_key(usage, "prompt_tokens")
     messages = vendor == "anthropic"
@@ -173,15 +182,16 @@ def lines_without_usage(records: DataFrame) -> DataFrame:
 
 
 def numbered_bad_lines(lines: DataFrame) -> DataFrame:
-    """Lines that are not JSON, as (source, line_no).
+    """Lines that are not JSON, as (source, line_no), with the path where there is one.
 
     Line numbers come from per-split counts: no file is pulled through one task. ``lines`` needs
     (source, split_start, seq, line) with ``seq`` consecutive inside a split, blank lines included.
     """
-    splits = lines.groupBy("source", "split_start").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
-    earlier = Window.partitionBy("source").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    file = _file(lines)
+    splits = lines.groupBy(file, "split_start").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    earlier = Window.partitionBy(file).orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     bad = lines.filter((F.trim("line") != "") & F.try_parse_json("line").isNull())
-    return bad.join(offsets, ["source", "split_start"]).select(
-        "source", (F.col("before") + F.col("seq") - F.col("first_seq") + 1).alias("line_no")
+    return bad.join(offsets, [file, "split_start"]).select(
+        *dict.fromkeys(("source", file)), (F.col("before") + F.col("seq") - F.col("first_seq") + 1).alias("line_no")
     )
