@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HASH_HEX_CHARS = 16
+#: The whole digest. A shorter one saves space, at the price of false cache hits once keys are many.
+HASH_HEX_CHARS = 64
 FINGERPRINT_TYPE = "prefix_hashes array<string>, prefix_chars array<bigint>, request_hash string"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendscope.operators.pricing import add_costs, repriced_costs, with_targets
+from spendscope.functions.joins import checked_broadcast
 from spendscope.schema import total_input
 
 CELL_KEYS = ["source", "granularity", "vendor", "workload", "model_key", "product", "service_tier", "hour"]
@@ -109,11 +110,11 @@ def monthly(column: str) -> Column:
 def spend_of_record(rows: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
     """Bucket rows, plus request rows of the vendors that have no bucket rows.
 
-    Works on usage rows and on cells; the levers use it on cells, where it costs nothing. ``vendors`` may
-    be a size-checked broadcast of the bucket vendors.
+    Works on usage rows and on cells. The bucket vendors are a few names, so request rows are not shuffled on them:
+    they are counted and broadcast. ``vendors`` gives them where they are known already.
     """
     if vendors is None:
-        vendors = bucket_vendors(rows)
+        vendors = checked_broadcast(bucket_vendors(rows))
     buckets = rows.filter(F.col("granularity") == "bucket")
     logs = rows.filter(F.col("granularity") == "request").join(vendors, "vendor", "left_anti")
     return buckets.unionByName(logs.select(*buckets.columns))

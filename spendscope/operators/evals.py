@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # Check kinds and how much the candidate may lose.
 CHECK_KINDS = ["exact", "contains", "contains_all", "one_of", "json_field"]
 EVAL_TOLERANCE = 0.02
-SKELETON_CAP = 100
 
 CHECK_TYPE = "array<struct<kind:string,field:string,value:string,values:array<string>>>"
 
@@ -26,11 +25,17 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WHITESPACE, " "))
 
 
-def check_passes(output: Column, normal_output: Column, check: Column) -> Column:
+def json_fields(output: Column, checks: Column) -> Column:
+    """Fields of an output that is a JSON object, parsed once and only where a check asks for a field."""
+    asked = F.exists(checks, lambda c: c["kind"] == "json_field")
+    return F.when(asked, F.from_json(output, "map<string,string>"))
+
+
+def check_passes(fields: Column, normal_output: Column, check: Column) -> Column:
     """``check.values`` holds every accepted or required text; ``check.value`` a single one."""
     wanted = F.transform(check["values"], normal_text)
     single = normal_text(check["value"])
-    field = F.try_element_at(F.from_json(output, "map<string,string>"), check["field"])
+    field = F.try_element_at(fields, check["field"])
     kind = check["kind"]
     return (
         F.when(kind == "exact", normal_output == single)
@@ -39,7 +44,7 @@ def check_passes(output: Column, normal_output: Column, check: Column) -> Column
         .when(kind == "one_of", F.exists(wanted, lambda w: normal_output == w))
         .when(
             kind == "json_field",
-            F.coalesce(F.from_json(output, "map<string,string>").isNotNull(), F.lit(False)) & field.eqNullSafe(check["value"]),
+            fields.isNotNull() & field.eqNullSafe(check["value"]),
         )
         .otherwise(F.raise_error(F.concat(F.lit("unknown check type "), kind)).cast("boolean"))
     )
@@ -67,11 +72,12 @@ def eval_items(cases: DataFrame, outputs: DataFrame) -> DataFrame:
             "workload": F.coalesce(F.nullif(F.col("workload"), F.lit("")), F.lit("all")),
             "missing": F.col("output").isNull(),
             "normal_output": normal_text(F.col("output")),
+            "fields": json_fields(F.col("output"), F.col("checks")),
         }
     )
     failed = F.filter(
         F.coalesce("checks", F.array().cast(CHECK_TYPE)),
-        lambda c: ~F.coalesce(check_passes(F.col("output"), F.col("normal_output"), c), F.lit(False)),
+        lambda c: ~F.coalesce(check_passes(F.col("fields"), F.col("normal_output"), c), F.lit(False)),
     )
     labels = F.when(F.col("missing"), F.array(F.lit("missing output"))).otherwise(F.transform(failed, check_label))
     return joined.withColumn("failed_checks", labels).select(
@@ -87,23 +93,29 @@ def eval_items(cases: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def eval_checks(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     """Result of every single check of the cases that have an output."""
-    joined = cases.join(last_outputs(outputs), "id")
-    exploded = joined.select("id", "output", F.posexplode("checks").alias("check_no", "check"))
+    joined = cases.join(last_outputs(outputs), "id").withColumns(
+        {"normal_output": normal_text(F.col("output")), "fields": json_fields(F.col("output"), F.col("checks"))}
+    )
+    exploded = joined.select("id", "normal_output", "fields", F.posexplode("checks").alias("check_no", "check"))
     return exploded.select(
         "id",
         "check_no",
         F.col("check.kind").alias("kind"),
-        check_passes(F.col("output"), normal_text(F.col("output")), F.col("check")).alias("passed"),
+        check_passes(F.col("fields"), F.col("normal_output"), F.col("check")).alias("passed"),
     )
 
 
 def eval_score(items: DataFrame) -> DataFrame:
-    """Overall score: cases, passed, rate, and the models that produced the outputs."""
-    return items.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("passed").alias("passed"),
-        F.array_sort(F.collect_set(F.nullif(F.col("model"), F.lit("")))).alias("models"),
-    ).withColumn("rate", F.coalesce(F.col("passed") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)))
+    """Overall score: cases, passed and rate."""
+    return items.agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed")).withColumn(
+        "rate", F.coalesce(F.col("passed") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    )
+
+
+def eval_models(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Models that produced each side's outputs, and how many."""
+    sides = [items.select(F.lit(side).alias("side"), "model") for side, items in (("baseline", baseline), ("candidate", candidate))]
+    return sides[0].unionByName(sides[1]).filter(F.col("model") != "").groupBy("side", "model").agg(F.count(F.lit(1)).alias("n"))
 
 
 def workload_scores(items: DataFrame) -> DataFrame:
@@ -151,23 +163,22 @@ def eval_by_workload(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     )
 
 
-def eval_skeleton(cells: DataFrame, cap: int = SKELETON_CAP) -> DataFrame:
-    """One empty case per workload, dearest first: top-n of a small aggregate.
+def eval_skeleton(cells: DataFrame, first: int | None = None) -> DataFrame:
+    """One empty case per workload, dearest first; ``first`` keeps so many.
 
     Costs are not normalised and cover buckets and requests alike.
     """
-    top = (
+    named = (
         cells.filter(F.col("workload").isNotNull())
         .groupBy("workload")
         .agg(F.sum("cost_usd").alias("cost"))
         .filter(~F.col("workload").isin("", "all", "nan"))
-        .orderBy(F.desc("cost"), "workload")
-        .limit(cap)
     )
+    top = named if first is None else named.orderBy(F.desc("cost"), "workload").limit(first)
     # Without a named workload the skeleton has one catch-all case.
     catch_all = top.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0)
     names = top.unionByName(catch_all.select(F.lit("all").alias("workload"), F.lit(0.0).alias("cost")))
-    # At most ``cap`` rows are left to number.
+    # A row per workload name is left to number.
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("cost"), "workload")
     numbered = names.withColumn("rank", F.row_number().over(order))
     return numbered.select(

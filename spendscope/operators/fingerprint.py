@@ -106,7 +106,8 @@ def redacted_lines(lines: DataFrame, salt: bytes) -> DataFrame:
         F.col("fp.request_hash").isNotNull(),
         F.map_concat(F.map_filter(kept, lambda k, _: k != "fingerprint"), added),
     ).otherwise(kept)
-    return stamped.select("source", "seq", F.to_json(base).alias("line"))
+    line = F.when(F.col("rec").isNull(), F.raise_error(F.concat(F.lit("not a JSON line in "), "source")).cast("string"))
+    return stamped.select("source", "seq", line.otherwise(F.to_json(base)).alias("line"))
 
 
 def write_redacted(lines: DataFrame, salt: bytes, folder: str) -> None:

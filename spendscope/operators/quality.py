@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendscope.functions.tables import Workspace
 from spendscope.operators.pricing import keyed, tier_is_unverified, with_prices
 from spendscope.price_dim import PRICES_MAX_AGE_DAYS, PRICES_VERIFIED_ON, values_frame
 
@@ -47,17 +49,19 @@ def unusable_lines(counts: DataFrame) -> DataFrame:
     return missing.unionByName(broken).filter(F.col("n") > 0)
 
 
-def usage_notes(spark: SparkSession, usage: DataFrame) -> DataFrame:
-    """Rows without a model, models without a price, tiers without a verified multiplier.
+def usage_notes(spark: SparkSession, usage: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Rows without a model, models without a price, tiers without a verified multiplier, hidden request rows.
 
-    One narrow pass and one aggregation to (source, model, tier) grain feed all three.
+    One narrow pass and one aggregation to (source, model, tier) grain feed all of them: ``keep`` writes that small
+    table, so the usage is read once.
     """
+    keep = keep or Workspace(spark).settle
     groups = (
         keyed(usage)
         .groupBy("source", "model", "model_key", "service_tier", "product", "vendor", "granularity")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    priced = with_prices(spark, groups)
+    priced = with_prices(spark, keep(groups, "note-groups"))
     known = F.col("p_input").isNotNull()
     nameless = (
         priced.filter(F.col("model") == "unknown").groupBy("source").agg(F.sum("n").alias("n"))
@@ -109,3 +113,9 @@ def stale_prices(spark: SparkSession, as_of: dt.date) -> DataFrame:
         return no_notes(spark)
     record = {"code": "stale_prices", "source": None, "subject": PRICES_VERIFIED_ON.isoformat(), "n": price_age_days(as_of)}
     return values_frame(spark, NOTE_FIELDS, [record])
+
+
+def price_date(spark: SparkSession, as_of: dt.date) -> DataFrame:
+    fields = [("verified_on", "string"), ("age_days", "bigint"), ("stale", "boolean")]
+    record = {"verified_on": PRICES_VERIFIED_ON.isoformat(), "age_days": price_age_days(as_of), "stale": prices_are_stale(as_of)}
+    return values_frame(spark, fields, [record])

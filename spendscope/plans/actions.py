@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from spendscope.plans.levers import model_targets, priced_only, request_cells, token_quantiles
 
-# Thresholds and list lengths of the action tables.
+# Thresholds of the action tables.
 MIN_SAVING_USD = 1.0
 MIN_CACHE_SAVING_USD = 50.0
-MIGRATIONS_SHOWN = 8
+# Workloads named beside a model; the tables themselves have all rows, with a rank.
 WORKLOADS_SHOWN = 2
-DUPLICATE_MODELS_SHOWN = 4
 ROUTE_FROM_SHORT_SHARE = 0.2
 MAX_TOKENS_HEADROOM = 1.1
 MAX_TOKENS_MIN_REQUESTS = 20
@@ -43,17 +42,21 @@ def costliest_workloads(spend: DataFrame, n: int = WORKLOADS_SHOWN) -> DataFrame
     )
 
 
-def plan_migration(detail: DataFrame, spend: DataFrame) -> DataFrame:
-    top = (
+def _ranked(rows: DataFrame, first: int | None) -> DataFrame:
+    """Rows by saving, with their rank; ``first`` cuts the table after so many (a row per priced model at most)."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("saving_base"), "model_key")))
+    return ranked if first is None else ranked.filter(F.col("rank") <= first)
+
+
+def plan_migration(detail: DataFrame, spend: DataFrame, first: int | None = None) -> DataFrame:
+    rows = (
         _of(detail, "migration")
         .filter(F.col("base") >= MIN_SAVING_USD)
         .select(F.col("subject").alias("model_key"), F.col("target").alias("successor"), F.col("base").alias("saving_base"))
-        .orderBy(F.desc("saving_base"), "model_key")
-        .limit(MIGRATIONS_SHOWN)
     )
     names = [f"workload_{i}" for i in range(1, WORKLOADS_SHOWN + 1)]
-    return top.join(costliest_workloads(spend), "model_key", "left").select(
-        "model_key", "successor", "saving_base", F.concat_ws(", ", *names).alias("workloads")
+    return _ranked(rows, first).join(costliest_workloads(spend), "model_key", "left").select(
+        "rank", "model_key", "successor", "saving_base", F.concat_ws(", ", *names).alias("workloads")
     )
 
 
@@ -122,13 +125,10 @@ def plan_max_tokens(totals: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def plan_duplicates(detail: DataFrame) -> DataFrame:
-    return (
-        _of(detail, "duplicates")
-        .filter(F.col("base") >= MIN_SAVING_USD)
-        .select(F.col("subject").alias("model_key"), F.col("base").alias("saving_base"))
-        .orderBy("model_key")
-        .limit(DUPLICATE_MODELS_SHOWN)
+def plan_duplicates(detail: DataFrame, first: int | None = None) -> DataFrame:
+    rows = _of(detail, "duplicates").filter(F.col("base") >= MIN_SAVING_USD)
+    return _ranked(rows.select(F.col("subject").alias("model_key"), F.col("base").alias("saving_base")), first).select(
+        "rank", "model_key", "saving_base"
     )
 
 

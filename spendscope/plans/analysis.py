@@ -8,6 +8,7 @@ written once to the shared folder and read back from there.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 from functools import cached_property
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendscope.functions.tables import Workspace
-from spendscope.operators import breakdowns, cells as cl, duplicates, reuse
+from spendscope.operators import breakdowns, cells as cl, duplicates, quality, reuse
 from spendscope.plans import actions, evidence, levers as lv
 from spendscope.session import prepared
 
@@ -25,7 +26,8 @@ AUDIT_PRICE_USD = 1900
 
 
 class Analysis:
-    """Tables of one analysis. ``batchable`` names workloads confirmed as non-interactive."""
+    """Tables of one analysis. ``batchable`` names workloads confirmed as non-interactive; ``notes`` are those of the
+    load, ``eval_result`` a gate row, both for the report; ``as_of`` is the day on which the prices' age is told."""
 
     def __init__(
         self,
@@ -33,11 +35,17 @@ class Analysis:
         usage: DataFrame,
         invoice: DataFrame | None = None,
         batchable: Iterable[str] = (),
+        notes: DataFrame | None = None,
+        eval_result: DataFrame | None = None,
+        as_of: dt.date | None = None,
     ):
         self.spark = prepared(spark)
         self.usage = usage
         self.invoice = invoice
         self.batchable = sorted(batchable)
+        self.load_notes = notes
+        self.eval_result = eval_result
+        self.as_of = as_of or dt.date.today()
         self.workspace = Workspace(self.spark)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -257,16 +265,29 @@ class Analysis:
             }
         ).drop("one")
 
+    @property
+    def notes(self) -> DataFrame:
+        """Data-quality notes: those of the load, or of the usage table, and the age of the prices."""
+        found = quality.usage_notes(self.spark, self.usage, self._keep) if self.load_notes is None else self.load_notes
+        return found.unionByName(quality.stale_prices(self.spark, self.as_of))
+
+    @property
+    def prices(self) -> DataFrame:
+        """When the price list was verified, and how old it is."""
+        return quality.price_date(self.spark, self.as_of)
+
     def tables(self) -> dict[str, DataFrame]:
         """Every result table by name (the machine-readable report)."""
         names = [
             "summary", "levers", "lever_detail", "lever_evidence", "by_model", "by_workload", "by_token_type",
             "embedding_spend", "plan_migration", "plan_routing", "plan_cache", "plan_batch", "plan_max_tokens",
-            "plan_duplicates", "plan_fast",
+            "plan_duplicates", "plan_fast", "notes", "prices",
         ]
         found = {name: getattr(self, name) for name in names}
         if self.reconciliation is not None:
             found["reconciliation"] = self.reconciliation
+        if self.eval_result is not None:
+            found["eval_result"] = self.eval_result
         return found
 
     def write(self, folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
