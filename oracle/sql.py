@@ -351,7 +351,7 @@ def _pad(hex_byte: int) -> str:
 
 
 def _hmac(text: str) -> str:
-    return f"sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode({text}))))[1:16]"
+    return f"sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode({text}))))"
 
 
 STATEMENTS: dict[str, str] = {
@@ -431,16 +431,23 @@ STATEMENTS: dict[str, str] = {
     "by_token_type": """SELECT t AS token_type, round(v, 4) AS monthly_cost FROM (SELECT unnest([{'t': 'Uncached input', 'v': sum(cost_uncached * mf)}, {'t': 'Cache reads', 'v': sum(cost_cache_read * mf)},
         {'t': 'Cache writes', 'v': sum(cost_cache_write * mf)}, {'t': 'Output (incl. reasoning)', 'v': sum(cost_output * mf)}, {'t': 'Web search', 'v': sum(cost_other * mf)}], recursive := true) FROM spend)""",
     "embedding_spend": "SELECT model_key, round(sum(cost_usd * mf), 4) AS monthly_cost FROM spend WHERE product = 'embedding' GROUP BY 1",
-    "reconcile": """SELECT vendor, count(*) AS days, round(sum(invoiced), 4) AS invoiced, round(sum(modelled), 4) AS modelled, round((sum(modelled) - sum(invoiced)) / sum(invoiced), 8) AS diff_pct FROM
-        (SELECT vendor, CAST(timestamp AS DATE) AS date, sum(cost_usd) AS modelled, sum(cost_usd) * (1 + (day(CAST(timestamp AS DATE)) % 5 - 2) / 100.0) AS invoiced
-          FROM priced_rows WHERE granularity = 'bucket' GROUP BY 1, 2) GROUP BY 1""",
+    "reconcile": """SELECT * FROM (WITH billed AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE o_orderkey % 5 WHEN 3 THEN 'mistral' WHEN 4 THEN 'anthropic' ELSE 'openai' END AS vendor, o_totalprice / 1000 AS usd
+          FROM orders WHERE day(o_orderdate) <> 13),
+        invoiced_days AS (SELECT vendor, date, sum(usd) AS invoiced FROM billed GROUP BY 1, 2 UNION ALL SELECT DISTINCT 'cohere', date, 0.0 FROM billed),
+        bucketed AS MATERIALIZED (SELECT DISTINCT vendor FROM priced_rows WHERE granularity = 'bucket'),
+        modelled_days AS (SELECT vendor, CAST(timestamp AS DATE) AS date, sum(cost_usd) AS modelled FROM priced_rows
+          WHERE granularity = 'bucket' OR vendor NOT IN (SELECT vendor FROM bucketed) GROUP BY 1, 2)
+        SELECT vendor, count(*) AS days, round(sum(invoiced), 4) AS invoiced, round(coalesce(sum(modelled), 0), 4) AS modelled,
+          round((coalesce(sum(modelled), 0) - sum(invoiced)) / nullif(sum(invoiced), 0), 8) AS diff_pct
+        FROM invoiced_days LEFT JOIN modelled_days USING (vendor, date) GROUP BY 1)""",
     "data_quality": f"""SELECT 'unknown_model' AS code, NULL AS source, model_key AS subject, count(*) AS n FROM priced_rows WHERE NOT priced GROUP BY 3
       UNION ALL SELECT 'unverified_tier', NULL, model_key || ':' || service_tier, count(*) FROM keyed JOIN prices USING (model_key)
         WHERE NOT (service_tier IN ('standard', 'batch') OR (service_tier = 'fast' AND fast_mult IS NOT NULL)) GROUP BY 3
       UNION ALL SELECT 'skipped_result', 'openai_usage.json', 'organization.usage.embeddings.result', count(*) FROM lineitem
       UNION ALL SELECT 'long_context_window', 'anthropic_usage.json', NULL, count(*) FROM lineitem WHERE l_quantity > 40
       UNION ALL SELECT 'empty_export', 'file_' || l_suppkey || '.json', NULL, 1 FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 7 = 0 OR count(*) FILTER (l_linenumber > 1) = 0
-      UNION ALL SELECT 'log_line_without_usage', 'log.jsonl', NULL, count(*) FROM events WHERE event_type = 'error'""",
+      UNION ALL SELECT 'log_line_without_usage', 'log.jsonl', NULL, count(*) FROM events WHERE event_type = 'error'
+      UNION ALL SELECT 'stale_prices', NULL, '2026-09-29', date_diff('day', DATE '2026-09-29', DATE '2027-03-01')""",
     "duplicate_calls": f"SELECT model_key, request_hash, seq, timestamp, {rounded('cost_usd', 10)} FROM repeats WHERE is_dup",
     "duplicate_rates": f"SELECT model_key, {rounded('cost_usd')}, {rounded('dup_rate fail_rate', 8)} FROM dup_rates",
     "cache_replay": """SELECT o.model_key, o.seq, make_timestamp(o.at_us) AS timestamp, round(o.total, 4) AS total, round(o.hit, 4) AS hit_own, round(o.reuse, 4) AS reuse_own,
@@ -485,8 +492,8 @@ STATEMENTS: dict[str, str] = {
         round((last_us - first_us) / 86400e6, 8) AS days, round(low * 12, 4) AS low_yearly, round(base * 12, 4) AS base_yearly, round(high * 12, 4) AS high_yearly,
         round(base / monthly_spend, 8) AS base_share, base * 12 >= 5700 AS guarantee_met
         FROM combined, (SELECT min(epoch_us(timestamp)) AS first_us, max(epoch_us(timestamp) + bucket_seconds * 1000000) AS last_us FROM spend)""",
-    "plan_migration": """SELECT subject AS model_key, target AS successor, round(base, 4) AS saving_base, concat_ws(', ', w1, w2) AS workloads FROM
-        (SELECT * FROM detail WHERE lever = 'migration' AND base >= 1 ORDER BY base DESC LIMIT 8) d LEFT JOIN top_names n ON n.model_key = d.subject""",
+    "plan_migration": """SELECT rank, subject AS model_key, target AS successor, round(base, 4) AS saving_base, concat_ws(', ', w1, w2) AS workloads FROM
+        (SELECT *, row_number() OVER (ORDER BY base DESC, subject) AS rank FROM detail WHERE lever = 'migration' AND base >= 1) d LEFT JOIN top_names n ON n.model_key = d.subject""",
     "plan_routing": """SELECT workload, model_key, cheaper_model, round(short_share, 8) AS short_share FROM (SELECT workload, model_key,
         sum(CASE WHEN output_tokens - reasoning_tokens <= 120 AND total_input <= 4000 THEN cost_usd ELSE 0 END) / sum(cost_usd) AS short_share FROM chat_req WHERE priced GROUP BY 1, 2)
         JOIN targets USING (model_key) WHERE short_share >= 0.2 AND cheaper_model IS NOT NULL AND (SELECT base FROM levers WHERE lever = 'routing') >= 1""",
@@ -496,14 +503,16 @@ STATEMENTS: dict[str, str] = {
     "plan_batch": "SELECT vendor, subject AS workload, round(base, 4) AS saving_base FROM detail WHERE lever = 'batch' AND base >= 1",
     "plan_max_tokens": """SELECT workload, CAST(ceil(quantile_cont(output_tokens, 0.95) * 1.1) AS BIGINT) AS max_tokens FROM chat_req
         WHERE (SELECT base FROM levers WHERE lever = 'output') >= 1 GROUP BY 1 HAVING count(*) >= 20""",
-    "plan_duplicates": "SELECT subject AS model_key, round(base, 4) AS saving_base FROM detail WHERE lever = 'duplicates' AND base >= 1 ORDER BY subject LIMIT 4",
+    "plan_duplicates": "SELECT row_number() OVER (ORDER BY base DESC, subject) AS rank, subject AS model_key, round(base, 4) AS saving_base FROM detail WHERE lever = 'duplicates' AND base >= 1",
     "plan_fast": "SELECT DISTINCT model_key FROM chat_spend WHERE priced AND service_tier = 'fast' AND (SELECT base FROM levers WHERE lever = 'fast_mode') >= 1",
     "eval_checks": """SELECT id, 0 AS check_no, CASE kind WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' WHEN 2 THEN 'contains_all' WHEN 3 THEN 'one_of' ELSE 'json_field' END AS kind,
         cand_ok AS passed FROM scored WHERE NOT missing""",
     "eval_items": f"""SELECT id, workload, cand_ok AS passed, missing, CASE WHEN cand_ok THEN 0 ELSE 1 END AS n_failed, md5(CASE WHEN missing THEN 'missing output' WHEN cand_ok THEN ''
         ELSE CASE kind WHEN 0 THEN 'exact:' || {SPACED} WHEN 1 THEN 'contains:' || last_word WHEN 2 THEN 'contains_all:' WHEN 3 THEN 'one_of:' ELSE 'json_field:source' END END) AS failed_md5,
         CASE WHEN missing THEN '' ELSE 'gpt-6.1-sol' END AS model FROM scored""",
-    "eval_score": "SELECT count(*) AS n, count(*) FILTER (cand_ok) AS passed, 'gpt-6.1-sol' AS models, round(count(*) FILTER (cand_ok) / count(*), 8) AS rate FROM scored",
+    "eval_score": "SELECT count(*) AS n, count(*) FILTER (cand_ok) AS passed, round(count(*) FILTER (cand_ok) / count(*), 8) AS rate FROM scored",
+    "eval_models": """SELECT 'candidate' AS side, 'gpt-6.1-sol' AS model, count(*) AS n FROM scored WHERE NOT missing HAVING count(*) > 0
+        UNION ALL SELECT 'baseline', 'gpt-4o', count(*) FROM documents HAVING count(*) > 0""",
     "eval_gate": """SELECT n AS baseline_n, b AS baseline_passed, round(b / n, 8) AS baseline_rate, n AS candidate_n, c AS candidate_passed, round(c / n, 8) AS candidate_rate,
         round(c / n - b / n, 8) AS delta, 0.02 AS tolerance, c / n + 1e-12 >= b / n - 0.02 AS gate_pass FROM
         (SELECT count(*) AS n, count(*) FILTER (base_ok) AS b, count(*) FILTER (cand_ok) AS c FROM scored)""",
@@ -511,7 +520,7 @@ STATEMENTS: dict[str, str] = {
     "eval_by_workload": """SELECT workload, n AS baseline_n, b AS baseline_passed, round(b / n, 8) AS baseline_rate, n AS candidate_n, c AS candidate_passed, round(c / n, 8) AS candidate_rate,
         round(c / n - b / n, 8) AS delta FROM (SELECT workload, count(*) AS n, count(*) FILTER (base_ok) AS b, count(*) FILTER (cand_ok) AS c FROM scored GROUP BY 1)""",
     "eval_init": """SELECT rank, workload || '_' || printf('%03d', rank) AS id, workload, '' AS input FROM (SELECT workload, row_number() OVER (ORDER BY sum(cost_usd) DESC, workload) AS rank
-        FROM priced_rows GROUP BY workload) WHERE rank <= 100""",
+        FROM priced_rows GROUP BY workload)""",
     "fp_blocks": "SELECT source, block_no, length(block) AS n_chars, md5(block) AS block_md5 FROM fp_all",
     "fp_prefixes": f"""SELECT source, block_no, {_hmac('prefix')} AS prefix_hash, length(prefix) AS prefix_chars FROM
         (SELECT source, block_no, string_agg(block, '') OVER (PARTITION BY source ORDER BY block_no) AS prefix FROM fp_all)""",

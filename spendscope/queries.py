@@ -5,6 +5,7 @@ Sums of doubles depend on the order of addition, so results are rounded where th
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 MONEY = 4
 RATE = 8
 ROW = 10
+#: A day on which the price list is too old.
+STALE_ON = dt.date(2027, 3, 1)
 SALT = b"fixed salt for repeatable checks"
 
 _REGISTRY: dict[str, Query] = {}
@@ -107,7 +110,7 @@ def src_anthropic_costs(spark, sf_dir):
 
 @query
 def detect_kind(spark, sf_dir):
-    return exports.detect_kind(exports.pages_from_text(raw.mixed_pages(spark, sf_dir)))
+    return exports.detect_kind(exports.pages_from_text(raw.mixed_pages(spark, sf_dir))).select("source", "n_pages", "kind")
 
 
 def _log_records(spark, sf_dir):
@@ -138,7 +141,7 @@ def src_normalised_csv(spark, sf_dir):
 
 @query
 def skip_eval_files(spark, sf_dir):
-    kept = request_log.without_eval_files(request_log.parsed(raw.mixed_lines(spark, sf_dir)))
+    kept = request_log.parsed(request_log.without_eval_files(raw.mixed_lines(spark, sf_dir)))
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"), F.min("seq").alias("first_seq"))
 
 
@@ -318,7 +321,7 @@ def embedding_spend(spark, sf_dir):
 def reconcile(spark, sf_dir):
     usage = adapters.usage(spark, sf_dir)
     daily = breakdowns.daily_costs(spark, usage)
-    return tidy(breakdowns.reconcile(daily, raw.invoice(daily)), MONEY, diff_pct=RATE)
+    return tidy(breakdowns.reconcile(daily, raw.invoice(spark, sf_dir)), MONEY, diff_pct=RATE)
 
 
 @query
@@ -332,6 +335,7 @@ def data_quality(spark, sf_dir):
         quality.long_context(exports.long_context_rows(report)),
         quality.empty_exports(exports.detect_kind(exports.pages_from_text(raw.mixed_pages(spark, sf_dir)))),
         quality.unusable_lines(request_log.lines_without_usage(_log_records(spark, sf_dir))),
+        quality.stale_prices(spark, STALE_ON),
     ]
     return lv.all_contributions(parts)
 
@@ -499,7 +503,12 @@ def eval_items(spark, sf_dir):
 @query
 def eval_score(spark, sf_dir):
     _, candidate = _items(spark, sf_dir)
-    return tidy(evals.eval_score(candidate).withColumn("models", F.array_join("models", ",")), RATE)
+    return tidy(evals.eval_score(candidate), RATE)
+
+
+@query
+def eval_models(spark, sf_dir):
+    return evals.eval_models(*_items(spark, sf_dir))
 
 
 @query

@@ -305,12 +305,11 @@ def candidate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def invoice(daily: DataFrame) -> DataFrame:
-    """Invoices per (vendor, day) that differ from the modelled bucket cost by -2 to +2 percent."""
-    return daily.filter("granularity = 'bucket'").selectExpr(
-        "date",
-        "vendor",
-        "vendor AS line_item",
-        "cost_usd * (1 + (day(date) % 5 - 2) / 100.0D) AS amount_usd",
-        "'invoice' AS source",
+def invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice lines out of ``orders``, independent of the usage: days that usage lacks, usage days that it lacks, a
+    vendor without usage, and one that is invoiced nothing."""
+    vendor = "CASE o_orderkey % 5 WHEN 3 THEN 'mistral' WHEN 4 THEN 'anthropic' ELSE 'openai' END"
+    lines = table(spark, sf_dir, "orders").filter("day(o_orderdate) <> 13").selectExpr(
+        "CAST(o_orderdate AS DATE) AS date", f"{vendor} AS vendor", "o_orderpriority AS line_item", "o_totalprice / 1000 AS amount_usd", "'invoice' AS source"
     )
+    return lines.unionByName(lines.selectExpr("date", "'cohere' AS vendor", "line_item", "0D AS amount_usd", "source"))
