@@ -4,11 +4,18 @@ import os
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from oracle.check import compare, connect
+from oracle.sql import oracle_sql
+from spendscope.queries import queries
 
 SF_DIR = "/root/testdata/sf0.001"
-CHECKED = ["priced_usage", "reconcile", "cache_replay", "duplicate_calls", "levers", "lever_evidence", "summary", "plan_cache", "eval_items", "fp_prefixes"]
+CHECKED = [
+    "src_openai_usage", "src_openai_embeddings", "src_openai_costs", "src_anthropic_usage", "src_anthropic_costs", "src_request_log",
+    "src_normalised_csv", "usage_shape_map", "detect_kind", "skip_eval_files", "eval_bad_lines", "ts_parse", "priced_usage",
+    "spend_of_record", "reconcile", "data_quality", "cache_replay", "duplicate_calls", "levers", "lever_evidence", "summary",
+    "plan_cache", "plan_migration", "plan_duplicates", "eval_checks", "eval_items", "eval_score", "eval_models", "eval_init",
+    "fp_prefixes", "fp_redact",
+]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not mounted")
 
