@@ -183,12 +183,18 @@ def test_jaccard_of_odd_tables(odd, nothing):
     assert jaccard_join.similar_groups(nothing).count() == 0
 
 
-def test_prefixes_lengthen_where_candidates_are_many():
+def test_prefixes():
     s = np.arange(100, dtype=np.uint64)
-    rare = jaccard_join.prefix_of(s, 85, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    often = jaccard_join.prefix_of(s, 85, s[15:18], np.full(3, 10**6))
-    assert 1 <= rare[0] <= jaccard_join.MOST_MATCHES and len(rare[1]) == 15 + rare[0]
-    assert set(s[15:18].tolist()).isdisjoint(often[1].tolist())  # frequent shingles come last
+    none = np.zeros(0, np.uint64)
+    plain = jaccard_join.prefix_of(s, 85, jaccard_join.Order(none, np.zeros(0, np.int64)))
+    assert 1 < plain[0] <= jaccard_join.MOST_MATCHES and plain[1].tolist() == list(range(15 + plain[0]))
+    often = jaccard_join.prefix_of(s, 85, jaccard_join.Order(s[3:6], np.full(3, 10**6)))
+    assert set(range(3, 6)).isdisjoint(often[1].tolist())  # frequent shingles come last
+    costly = jaccard_join.prefix_of(s, 85, jaccard_join.Order(s[16:], np.arange(100, 184)))
+    assert costly[0] < plain[0] or costly[0] == jaccard_join.MOST_MATCHES  # length goes by the estimated cost
+    nothing = jaccard_join.SharedFilter(4, {})
+    alone = jaccard_join.prefix_of(s, 85, jaccard_join.Order(none, np.zeros(0, np.int64), nothing))
+    assert alone[0] == 1 and not len(alone[1])  # shingles of one document are never sent
 
 
 # -- vectors -----------------------------------------------------------------------------------------
