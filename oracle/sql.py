@@ -4,23 +4,11 @@ from __future__ import annotations
 
 import re
 
-from spendscope.price_dim import PRICE_FIELDS, TOKENIZER_SCALE, price_rows
+from oracle.price_list import TOKENIZER_SCALE, price_values
 
 SALT = b"fixed salt for repeatable checks"
 
 
-def _sql_value(value) -> str:
-    if value is None:
-        return "NULL"
-    return f"'{value}'" if isinstance(value, str) else f"{value!r}"
-
-
-def _price_values() -> str:
-    casts = ", ".join(f"CAST({n} AS {'VARCHAR' if t == 'string' else t.upper()}) AS {n}" for n, t in PRICE_FIELDS)
-    rows = ", ".join("(" + ", ".join(_sql_value(r[n]) for n, _ in PRICE_FIELDS) + ")" for r in price_rows())
-    return f"SELECT {casts} FROM (VALUES {rows}) AS v({', '.join(n for n, _ in PRICE_FIELDS)})"
-
-
 def _scale_values() -> str:
     rows = ", ".join(f"('{n}', CAST({s} AS DOUBLE))" for n, s in TOKENIZER_SCALE.items())
     return f"SELECT * FROM (VALUES {rows}) AS v(tokenizer, token_scale)"
@@ -57,7 +45,7 @@ def _costs(p: str, ratio: str) -> str:
 
 
 CTES: dict[str, str] = {
-    "prices": _price_values(),
+    "prices": price_values(),
     "scales": _scale_values(),
     # successor chains, followed one hop at a time
     "chain": """SELECT model_key, model_key AS at_model, 0 AS hops FROM prices
