@@ -38,6 +38,8 @@ SHORTEST = 16
 STRING = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 LEAST_RATIO, LEAST_MEAN = 16.0, 0.7
 SAMPLE_ROWS = 20_000
+#: Weight of the symbols' own frequencies, in observations.
+BACKOFF = 8.0
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 _CODE = np.full(128, 0, np.uint8)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(1, len(SYMBOLS) + 1)  # 0 is the start of a string
@@ -98,8 +100,13 @@ def pair_counts(strings: list[str]) -> np.ndarray:
 
 
 def log_model(count: np.ndarray) -> np.ndarray:
-    c = count.reshape(N, N)[:, 1:] + 0.5
-    return np.pad(np.log(c / c.sum(axis=1, keepdims=True)), ((0, 0), (1, 0)))  # nothing leads back to the start
+    """Log probabilities of each symbol after each other; rare contexts lean on the symbols' own frequencies. A pair seen
+    once tells nothing: it may come from a secret that no rule knows, among the ordinary strings."""
+    c = count.reshape(N, N)[:, 1:]
+    alone = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * (N - 1))
+    c = np.maximum(c - 1, 0)
+    p = (c + BACKOFF * alone) / (c.sum(axis=1, keepdims=True) + BACKOFF)
+    return np.pad(np.log(p), ((0, 0), (1, 0)))  # nothing leads back to the start
 
 
 def log_ratios(strings: list[str], ratio: np.ndarray) -> np.ndarray:

@@ -135,10 +135,9 @@ def test_redaction(spark, odd, nothing):
     assert out.schema.names == odd.schema.names and out.count() == odd.count()
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[14].endswith(" mail [EMAIL]. [PHONE] and [IP]") and text[3] is None and text[4] == ""
-    overlap = spark.createDataFrame([(1, "x +1 (269) 555-3296 4532015112830366 y é")], "doc_id long, text string")
-    spans = base_of(overlap.first()["text"])
-    hidden = pii.redact(overlap).first()["text"]
-    assert hidden.startswith("x [") and hidden.endswith(" y é") and "4532015112830366" not in hidden and len(spans) >= 1
+    number = next(n for d in range(10) if luhn(n := f"45320151128303{d}"))  # a card number that is a phone number too
+    overlap = spark.createDataFrame([(1, f"x +{number} y é"), (2, f"x {number}, 10.0.0.1 é")], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(overlap).orderBy("doc_id").collect()] == ["x [PHONE] y é", "x [CARD], [IP] é"]
     assert pii.redact(nothing).count() == 0 and pii.report(nothing).count() == 0
 
 
@@ -174,7 +173,9 @@ def test_secret_base_spans(spark, odd, documents, nothing):
 def test_models_tell_random_strings_from_identifiers(spark):
     rng = np.random.default_rng(3)
     key = lambda: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefghijkmnpqrstuvwxyz"), 24))
-    rows = [(i, f"set password={key()} for customer_account_number and getApplicationContext") for i in range(200)]
+    words = "customer account number retrieve context application handler buffer session manager index column latency window".split()
+    name = lambda: "_".join(rng.choice(words, 3)) if rng.random() < 0.5 else "".join(str(w).title() for w in rng.choice(words, 3))
+    rows = [(i, f"set password={key()} for {name()} and {name()}") for i in range(200)]
     unseen = key()
     rows.append((999, f"the value {unseen} was found by retrieve_customer_accounts yesterday"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
