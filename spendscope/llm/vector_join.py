@@ -33,8 +33,8 @@ from spendscope.llm.components import components
 COSINE = 0.95
 #: Coordinates of a block; coordinates of it that the grid uses.
 BLOCK_DIMS, GRID_DIMS = 8, 2
-#: Rows of one side of a task.
-CHUNK = 4096
+#: Rows of one side of a task: some 10 MB of vectors. Fewer rows mean more copies of each vector.
+CHUNK = 1 << 15
 #: Pairs tested at once.
 TILE = 1 << 21
 #: Added to squared distances: far above rounding, far below anything that matters.
