@@ -1,6 +1,7 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-The index holds the items' units (an item of more than ``UNIT_WORDS`` words is several). A unit's impacts are BM25 weights
+The index holds the items' units: an item of more than ``UNIT_WORDS`` words is several of just that many, the last of
+which overlaps the one before, so that no rest of a few words stands for an item. A unit's impacts are BM25 weights
 divided by the unit's own score, so a passage with all its words scores 1 and one threshold holds for all units.
 Whole texts are cut into passages of two half-overlapping steps of ``UNIT_WORDS`` words, so each unit lies whole in one of
 them. Retrieval is exact and skips by upper bounds, as block-max WAND does: a passage whose words' list maxima
@@ -82,6 +83,7 @@ def units_of(item_id: int, text: str | None) -> list[Unit]:
     out = []
     for lo in range(0, len(w), UNIT_WORDS):
         hi = min(lo + UNIT_WORDS, len(w))
+        lo = max(0, hi - UNIT_WORDS)
         cut = min(max(n_question, lo), hi)
         out.append(Unit(item_id, w[lo:hi], tuple(np.unique(trigrams(x)) if len(x) else x for x in (w[lo:hi], w[lo:cut], w[cut:hi]))))
     return out

@@ -228,6 +228,19 @@ def test_decontamination_of_odd_tables(spark, odd, nothing):
     assert sum(len(i.units) for i in many) == 3
 
 
+@pytest.mark.parametrize("n", [65, 66, 67, 70, 129])
+def test_the_rest_of_a_long_item_is_no_unit_of_its_own(spark, n):
+    item = [f"i{k}" for k in range(n)]
+    rest = item[n // 64 * 64 :]
+    texts = [f"a clean text about {' '.join(rest)} and more", " ".join(rest), "before it " + " ".join(item) + " after", "x " * 100 + " ".join(item[-64:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["overlap"] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {2: 1.0, 3: 1.0}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()} == {0, 1}
+    assert {len(u.words) for u in decontaminate.units_of(1, " ".join(item))} == {64}
+
+
 # -- token counts ------------------------------------------------------------------------------------
 
 
