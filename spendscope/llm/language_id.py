@@ -10,6 +10,10 @@ chosen by a hash of doc_id, of the ``LANGUAGES`` most frequent labels. A languag
 ``LEAST_SHARE`` of its own n-grams and ``LEAST_RATIO`` of what it makes up where it is most frequent. So at most
 1 / LEAST_SHARE n-grams of a language are kept, and the filter that every task gets has a fixed bound.
 
+How much of a text the kept n-grams cover differs by language: nearly all where letters are few, little where there
+are thousands of characters. So the least cover of a known text is each language's own: half of what all but
+``LOW_ROWS`` of its sampled rows have, each row judged by what the other rows teach, and never over ``LEAST_COVER``.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be
 learned; equal shares go to the label with more rows, then by name; a null label isn't learned from; repeated rows
 are predicted alike; other columns are not read (``keep_known`` returns them as they are).
@@ -36,12 +40,15 @@ ROWS_A_LANGUAGE = 1500
 LEAST_SHARE = 1e-4
 LEAST_RATIO = 0.2
 CELLS_A_GRAM, HASHES = 32, 3
-#: Texts whose best language holds a smaller share of their n-grams are in no known language.
+#: Texts whose best language holds a smaller share of their n-grams are in no known language, unless that language's
+#: own rows have little cover too; share of its rows that may have less than what its bound is taken from.
 LEAST_COVER = 0.2
+LOW_ROWS = 0.01
 #: Code points worked on at once.
 BLOCK = 1 << 18
 
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+_COVER = pa.schema([("lang", pa.string()), ("cover", pa.float64())])
 _GUESS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cover", pa.float64())])
 GUESS = "doc_id long, held_out boolean, lang_pred string, score double, cover double"
 
@@ -106,6 +113,7 @@ class LanguageFilter:
 
     languages: list[str]
     cells: np.ndarray  # [cells, words of 64 languages]
+    least: np.ndarray | None = None  # smallest cover of a text of each language
 
     @classmethod
     def of(cls, languages: list[str], keys: np.ndarray, masks: np.ndarray) -> LanguageFilter:
@@ -173,14 +181,56 @@ def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, held_out: bool
     counted = counted.persist()
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     often = counted.join(checked_broadcast(totals), "lang").withColumn("p", F.col("n") / F.col("total")).filter(F.col("p") >= LEAST_SHARE)
-    kept = often.select("lang", "gram", "p").toPandas()  # at most 1 / LEAST_SHARE rows a language
+    kept = often.select("lang", "gram", "p", "n", "total").toPandas()  # at most 1 / LEAST_SHARE rows a language
     counted.unpersist()
-    kept = kept[kept["p"] >= LEAST_RATIO * kept.groupby("gram")["p"].transform("max")]
+    kept["top"] = kept.groupby("gram")["p"].transform("max")
+    kept = kept[kept["p"] >= LEAST_RATIO * kept["top"]]
     keys, at = np.unique(kept["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
     number = kept["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
     masks = np.zeros((len(keys), -(-len(names) // 64)), np.uint64)
     np.bitwise_or.at(masks, (at, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
-    return LanguageFilter.of(names, keys, masks)
+    model = LanguageFilter.of(names, keys, masks)
+    model.least = np.full(len(names), LEAST_COVER)
+    low = _low_covers(sampled.select("lang", "text"), kept)
+    for i, x in enumerate(names):
+        if x in low:
+            model.least[i] = min(LEAST_COVER, low[x] / 2)
+    return model
+
+
+def cover_by_others(keys: np.ndarray, known: np.ndarray, n: np.ndarray, top: np.ndarray, total: int) -> float:
+    """Share of a sampled text's n-grams ``keys`` that its language would keep without this text. ``known``: the n-grams
+    that it keeps, in order, with their number and largest share in any language; ``total``: number of all its n-grams."""
+    own, times = np.unique(keys, return_counts=True)
+    rest = total - len(keys)
+    if rest <= 0 or not len(known):
+        return 0.0
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    p = np.where(known[at] == own, n[at] - times, 0) / rest
+    return float(times[p >= np.maximum(LEAST_SHARE, LEAST_RATIO * top[at])].sum() / len(keys))
+
+
+def _low_covers(sampled: DataFrame, kept) -> dict[str, float]:
+    """Cover of the sampled rows of each language that has any n-gram: all but ``LOW_ROWS`` of its rows have as much."""
+    learned = {}
+    for lang, part in kept.groupby("lang"):
+        known = part["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        learned[lang] = (known[order], part["n"].to_numpy(np.int64)[order], part["top"].to_numpy(float)[order], int(part["total"].iloc[0]))
+    sent = sampled.sparkSession.sparkContext.broadcast(learned)  # at most 1 / LEAST_SHARE n-grams a language
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), 0)
+
+    def judge(batches):
+        for b in batches:
+            langs = b.column(0).to_pylist()
+            keys, bounds = grams(b.column(1).to_pylist())
+            rows = [i for i in range(len(langs)) if bounds[i] < bounds[i + 1]]
+            covers = [cover_by_others(keys[bounds[i] : bounds[i + 1]], *sent.value.get(langs[i], nothing)) for i in rows]
+            yield batch({"lang": [langs[i] for i in rows], "cover": covers}, _COVER)
+
+    covers = sampled.mapInArrow(judge, "lang string, cover double")
+    low = covers.groupBy("lang").agg(F.percentile("cover", F.lit(LOW_ROWS)).alias("low"))
+    return {r["lang"]: r["low"] for r in low.collect()}  # at most LANGUAGES rows
 
 
 def guesses(model: LanguageFilter, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -207,13 +257,17 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageFilter, least_cover: float = LEAST_COVER) -> DataFrame:
-    """The rows whose text is in a known language, all columns as they are."""
+    """The rows whose text is in a known language, all columns as they are. ``least_cover`` is the most that is asked
+    of any language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batches):
+        model = sent.value
+        least = model.least if model.least is not None else np.full(len(model.languages), least_cover)
+        asked = {x: min(least_cover, max(v, 1e-9)) for x, v in zip(model.languages, least)}
         for b in batches:
-            langs, _, cover = guesses(sent.value, b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN and c >= least_cover for x, c in zip(langs, cover)]))
+            langs, _, cover = guesses(model, b.column(at).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN and c >= asked[x] for x, c in zip(langs, cover)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -66,6 +66,35 @@ def test_grams_of_many_texts_are_those_of_each():
         assert (keys[bounds[k] : bounds[k + 1]] == alone).all() and bounds[k + 1] - bounds[k] == len(alone)
 
 
+def test_texts_of_a_language_of_thousands_of_characters_are_known(spark):
+    rng = np.random.default_rng(4)
+    signs = [chr(0x4E00 + k) for k in range(4000)]
+    common = ["".join(rng.choice(signs, 3)) for _ in range(60)]
+    rare = lambda n: "".join(rng.choice(signs, n))
+    wide = [rare(30) + "".join(rng.choice(common, 2)) + rare(30) for _ in range(900)]
+    words = "the old house by a river was quiet and nobody came there after rain had fallen on stone".split()
+    narrow = [" ".join(rng.choice(words, 30)) for _ in range(900)]
+    other = ["".join(chr(0x430 + k) for k in rng.integers(0, 32, 60)) for _ in range(50)]
+    rows = [(i, t, "zz") for i, t in enumerate(wide)] + [(1000 + i, t, "nn") for i, t in enumerate(narrow)] + [(2000 + i, t, None) for i, t in enumerate(other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    guessed = language_id.predict(docs, model).filter("held_out and doc_id < 1000").toPandas()
+    right = set(guessed[guessed["lang_pred"] == "zz"]["doc_id"])
+    assert len(right) > 0.95 * len(guessed) and guessed["cover"].median() < language_id.LEAST_COVER
+    kept = {r["doc_id"] for r in language_id.keep_known(docs, model).collect()}
+    assert len(right & kept) > 0.98 * len(right)
+    assert kept >= set(range(1000, 1900)) and not any(i >= 2000 for i in kept)
+    least = dict(zip(model.languages, model.least))
+    assert least["nn"] == language_id.LEAST_COVER and 0 < least["zz"] < 0.1
+
+
+def test_a_row_is_judged_by_the_other_rows():
+    keys = np.array([5, 5, 6, 7, 9], np.uint64)
+    known, n, top = np.array([5, 6, 7], np.uint64), np.array([2, 3, 1]), np.full(3, 0.01)
+    assert language_id.cover_by_others(keys, known, n, top, 100) == 1 / 5  # only 6 is left without this row
+    assert language_id.cover_by_others(keys, known, n, top, 5) == 0
+
+
 # -- personal data -----------------------------------------------------------------------------------
 
 PII = {
