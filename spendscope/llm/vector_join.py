@@ -8,9 +8,10 @@ coordinates of the block, as wide as the range; a vector visits half of its cell
 cell's pairs are tested by one matrix product. A pair counts in the first block that finds it, and only there, so the union
 needs no exchange of pairs. Each found pair is verified by its cosine in double precision.
 
-Vectors with the same components are one node with a multiplicity. A cell with more than ``CHUNK`` rows is split
-into chunks, and tasks compare two chunks each; links leave a task as counts by vector and a spanning forest, so a
-group of near copies is never written out as pairs.
+Vectors with the same components are one node with a multiplicity. A cell with more than ``CHUNK`` rows or
+``CHUNK_BYTES`` of vectors is split into chunks, and tasks compare two chunks each. Each tile's pairs are folded at once
+into counts by vector and a running union of labels, which is all that leaves a task, so a group of near copies is
+never held or written out as pairs.
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components link with nothing and are
 kept; vectors of different length never link; rows with the same vec_id count as vectors of their own; an empty
@@ -33,10 +34,11 @@ from spendscope.llm.components import components
 COSINE = 0.95
 #: Coordinates of a block; coordinates of it that the grid uses.
 BLOCK_DIMS, GRID_DIMS = 8, 2
-#: Rows of one side of a task: some 10 MB of vectors. Fewer rows mean more copies of each vector.
-CHUNK = 1 << 15
-#: Pairs tested at once.
-TILE = 1 << 21
+#: Rows of one side of a task, and bytes of its vectors, some seven times as many when rotated and scaled. Fewer rows
+#: mean more copies of each vector.
+CHUNK, CHUNK_BYTES = 1 << 15, 1 << 24
+#: Pairs tested at once; components of them when they are compared whole.
+TILE, WHOLE = 1 << 21, 1 << 22
 #: Added to squared distances: far above rounding, far below anything that matters.
 SLACK = 1e-9
 
@@ -151,8 +153,9 @@ def similar(one: _Side, other: _Side, block: int, cosine: float, same: bool):
         i = i + lo
         if same:
             i, j = i[i < j], j[i < j]
-        for at in range(0, len(i), 1 << 16):
-            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        n = max(1, WHOLE // dims)
+        for at in range(0, len(i), n):
+            p, q = i[at : at + n], j[at : at + n]
             within = np.add.reduceat((one.x[p] - other.x[q]) ** 2, starts, axis=1) <= budget
             mine = within[:, block] & ~within[:, :block].any(axis=1)
             p, q = p[mine], q[mine]
@@ -160,20 +163,57 @@ def similar(one: _Side, other: _Side, block: int, cosine: float, same: bool):
             yield p[cos >= cosine], q[cos >= cosine]
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Smallest index of each one's component."""
     label = np.arange(n)
     while True:
         before = label.copy()
-        for p, q in pairs:
-            low = np.minimum(label[p], label[q])
-            np.minimum.at(label, p, low)
-            np.minimum.at(label, q, low)
+        low = np.minimum(label[p], label[q])
+        np.minimum.at(label, p, low)
+        np.minimum.at(label, q, low)
         label = label[label]
         if (label == before).all():
             return label
 
 
+class _Links:
+    """Counts and smallest index of the component of each vector, brought up to date by some pairs at a time."""
+
+    def __init__(self, copies: np.ndarray):
+        self.copies = copies
+        self.count = np.zeros(len(copies), np.int64)
+        self.label = np.arange(len(copies))
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        np.add.at(self.count, p, self.copies[q])
+        np.add.at(self.count, q, self.copies[p])
+        a, b = self.label[p], self.label[q]
+        new = a != b
+        if new.any():
+            ends, at = np.unique(np.concatenate([a[new], b[new]]), return_inverse=True)
+            least = np.arange(len(self.label))
+            least[ends] = ends[_forest(len(ends), *np.split(at, 2))]
+            self.label = least[self.label]
+
+
+def links(one: _Side, other: _Side, block: int, cosine: float, same: bool) -> _Links:
+    """Links between the sides, ``same``: also within ``one``; vectors of ``other`` are numbered after those of ``one``."""
+    n = len(one.nodes)
+    out = _Links(np.concatenate([one.copies, other.copies]))
+    for p, q in similar(one, other, block, cosine, False):
+        out.add(p, q + n)
+    if same:
+        for p, q in similar(one, one, block, cosine, True):
+            out.add(p, q)
+    return out
+
+
+def chunks(kind: str):
+    """Number of chunks of a cell by its ``size`` and the dimensions that its name begins with."""
+    width = F.substring_index("cell", ":", 1).cast("long") * np.dtype(kind).itemsize
+    return F.ceil(F.greatest(F.col("size") / CHUNK, F.col("size") * width / CHUNK_BYTES)).cast("int")
+
+
 def near_duplicates(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     rows, kind = vectors(table, id_col, vec_col)
@@ -182,7 +222,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, id_col: str = "vec
     visits = settle(_visits(nodes.select("node", "copies", "vec"), kind, cosine), "visits")
 
     crowds = visits.groupBy("block", "cell").agg(F.count("*").alias("size"), F.count(F.when(F.col("home"), 1)).alias("homes"))
-    crowds = crowds.filter("homes > 0 and size > 1").select("block", "cell", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    crowds = crowds.filter("homes > 0 and size > 1").select("block", "cell", chunks(kind).alias("chunks"))
     dealt = visits.join(settle(crowds, "crowds"), ["block", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", "home"), "chunks").cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     left = dealt.filter("home").withColumn("j", F.explode(every)).withColumn("i", F.col("own")).withColumn("side", F.lit(0))
@@ -195,19 +235,10 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, id_col: str = "vec
         block, i, j = (group[x][0].as_py() for x in ("block", "i", "j"))
         side = group["side"].to_numpy()
         sides = [_Side(group.filter(pa.array(side == s)), kind) for s in (0, 1)]
-        n0 = len(sides[0].nodes)
-        nodes_, copies = (np.concatenate([getattr(s, x) for s in sides]) for x in ("nodes", "copies"))
-        pairs = [(p, q + n0) for p, q in similar(*sides, block, cosine, False)]
-        if i == j:
-            pairs += list(similar(sides[0], sides[0], block, cosine, True))
-        pairs = [x for x in pairs if len(x[0])]
-        count = np.zeros(len(nodes_), np.int64)
-        for p, q in pairs:
-            np.add.at(count, p, copies[q])
-            np.add.at(count, q, copies[p])
-        label = _forest(len(nodes_), pairs)
-        hit = np.flatnonzero(count)
-        return pa.table({"node": nodes_[hit], "n": count[hit], "root": nodes_[label[hit]]}, schema=_FOUND)
+        nodes_ = np.concatenate([x.nodes for x in sides])
+        out = links(*sides, block, cosine, i == j)
+        hit = np.flatnonzero(out.count)
+        return pa.table({"node": nodes_[hit], "n": out.count[hit], "root": nodes_[out.label[hit]]}, schema=_FOUND)
 
     found = tasks.groupBy("block", "cell", "i", "j").applyInArrow(join, "node long, n long, root long")
     found = settle(found, "found")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -235,3 +236,49 @@ def test_vector_join(spark, monkeypatch, dims, chunk):
 
 def test_vector_join_of_nothing(spark):
     assert vector_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def side(rng, n, dims=8, apart=0.01):
+    raw = np.float32(np.ones(dims) + apart * rng.standard_normal((n, dims)))
+    rows = {"node": np.arange(n), "copies": rng.integers(1, 4, n), "vec": [r.tobytes() for r in raw]}
+    return vector_join._Side(vector_join.pa.table(rows), "<f4")
+
+
+def test_links_of_near_copies_are_not_held_as_pairs(monkeypatch):
+    monkeypatch.setattr(vector_join, "TILE", 1 << 16)
+    monkeypatch.setattr(vector_join, "WHOLE", 1 << 16, raising=False)
+    one, other = side(np.random.default_rng(1), 1500), side(np.random.default_rng(2), 1500)
+    tracemalloc.start()
+    got = vector_join.links(one, other, 0, 0.95, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # the pairs would take 54 MB
+    assert (got.count[:1500] == one.copies.sum() - one.copies + other.copies.sum()).all()
+    assert (got.count[1500:] == one.copies.sum()).all() and (got.label == 0).all()
+
+
+def test_running_union_is_that_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for n_pairs in (20, 60, 150):
+        p, q = rng.integers(0, 100, (2, n_pairs))
+        got = vector_join._Links(np.ones(100, np.int64))
+        for at in range(0, n_pairs, 7):
+            got.add(p[at : at + 7], q[at : at + 7])
+        want = roots(set(range(100)), list(zip(p.tolist(), q.tolist())))
+        assert got.label.tolist() == [want[k] for k in range(100)]
+        assert got.count.tolist() == (np.bincount(p, minlength=100) + np.bincount(q, minlength=100)).tolist()
+
+
+def test_chunks_go_by_the_bytes_of_vectors(spark):
+    cells = spark.createDataFrame([("64:0,0", 32768), ("64:0,0", 32769), ("768:0,0", 32768), ("768:1,-1", 100)], "cell string, size long")
+    assert [r[0] for r in cells.select(vector_join.chunks("<f4")).collect()] == [1, 2, 6, 1]
+    assert [r[0] for r in cells.select(vector_join.chunks("<f8")).collect()] == [1, 2, 12, 1]
+
+
+def test_vector_join_of_cells_split_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = [[float(x) for x in np.float32(np.ones(64) + rng.standard_normal(64) * s)] for s in rng.choice([0.02, 0.3], 120)]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vector_join, "CHUNK_BYTES", 5000)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_join.near_duplicates(table).collect())
+    assert got == brute_vectors(list(enumerate(vectors)))
