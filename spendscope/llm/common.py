@@ -35,10 +35,10 @@ def workspace_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back; its lineage ends there."""
+def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder, in folders ``by`` a last column, and read it back; its lineage ends there."""
     path = workspace_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendscope.llm import decontaminate, jaccard_join, language_id, packing, pii, secrets, substring_dedup, token_counts, token_files, vector_join
+from spendscope.llm import (
+    bpe_automaton, decontaminate, jaccard_join, language_id, lexical_search, packing, pii, secrets, spelling, sql,
+    substring_dedup, token_counts, token_files, vector_join,
+)
 from spendscope.llm.common import table
 
 
@@ -53,14 +56,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id, op2_pii, op3_packing, op4_secrets, op5_jaccard_join,
         op6_decontaminate, op7_vector_join, op8_token_counts, op9_token_files,
-        op10_substring_dedup,
+        op10_substring_dedup, op11_lexical_search, op12_bpe_automaton, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

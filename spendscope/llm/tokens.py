@@ -50,7 +50,7 @@ def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _byte_signs() -> dict[int, str]:
+def byte_signs() -> dict[int, str]:
     """How byte-level vocabularies spell each byte: visible Latin-1 characters as they are, others from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -65,7 +65,7 @@ class TokenEncoder:
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.spelled = _byte_signs()
+        self.spelled = byte_signs()
         self.memo = _Memo(self._chunk)
 
     def plain(self, text: str) -> bytes:
