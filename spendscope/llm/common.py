@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,21 @@ def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def whole_groups(batches, key: str, least_bytes: int):
+    """Tables of whole groups of one key, of rows sorted by key; at least so many bytes each but the last. A group must be bounded."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least_bytes:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = t[key].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held, size = t.slice(cut).to_batches(), 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.functions.joins import checked_broadcast
-from spendscope.llm.common import batch, settle, texts
+from spendscope.llm.common import batch, settle, texts, whole_groups
 
 LEAST_LETTERS, LEAST_COUNT, LEAST_RATIO = 7, 2, 10
 #: One occurrence in so many is given an error.
@@ -41,6 +41,8 @@ TYPO_EVERY = 31
 HELD_WORDS = 400_000
 #: Bytes of the middles of one group; bytes of middles, and pairs of word and range, worked on at once.
 GROUP_BYTES, SCAN_BYTES, SCAN_PAIRS = 1 << 18, 1 << 19, 1 << 20
+#: Bytes of rows of whole groups that one task holds.
+HELD_BYTES = 16 << 20
 
 COUNT = "word string, n long"
 _COUNT = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -192,24 +194,6 @@ def groups(words: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
         rows = settle(rows, "divided-groups")
 
 
-def _whole_groups(batches, least_bytes: int):
-    """Batches of whole groups, of sorted rows; at least so many bytes of words each but the last."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        held.append(b)
-        size += b.column(0).nbytes
-        if size >= least_bytes:
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = t["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # rows come sorted by key
-            if cut:
-                yield t.slice(0, cut)
-            held, size = t.slice(cut).to_batches(), 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _near_in_groups(table: pa.Table) -> pa.RecordBatch:
     """Partial NEAR rows of whole groups; rows come sorted by group and middle."""
     names, n = table["word"].to_pylist(), table["n"].to_numpy()
@@ -260,7 +244,7 @@ def near_words(words: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """word, n_near, best_n and best of the words that have near words."""
 
     def scan(batches):
-        for table in _whole_groups(batches, 8 * SCAN_BYTES):
+        for table in whole_groups(batches, "key", HELD_BYTES):
             yield _near_in_groups(table)
 
     dealt = groups(words, group_bytes).select("word", "n", "key", *PLACE).repartition("key")
