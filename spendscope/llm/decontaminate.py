@@ -4,7 +4,7 @@ The index holds the items' units: an item of more than ``UNIT_WORDS`` words is s
 which overlaps the one before, so that no rest of a few words stands for an item. A unit's impacts are BM25 weights
 divided by the unit's own score, so a passage with all its words scores 1 and one threshold holds for all units.
 Whole texts are cut into passages of two half-overlapping steps of ``UNIT_WORDS`` words, so each unit lies whole in one of
-them. Retrieval is exact and skips by upper bounds, as block-max WAND does: a passage whose words' list maxima
+them. The question of a shorter item is a unit once more, for documents that hold it without the answer. Retrieval is exact and skips by upper bounds, as block-max WAND does: a passage whose words' list maxima
 don't add up to the threshold has no hit; of the others, only the blocks of units are opened whose block maxima
 add up; in those, scores are exact. What is retrieved is verified: the share of the unit's word trigrams in the
 passage, of its question and its answer (the last sentence) each and together, must reach ``LEAST_OVERLAP`` together.
@@ -36,7 +36,11 @@ BLOCK_UNITS = 16
 K1, B = 1.2, 0.75
 #: Share of a unit's own score that a passage must reach; share of its trigrams that it must hold.
 LEAST_SCORE, LEAST_OVERLAP = 0.4, 0.5
+#: A question of so many words is a unit of its own, of which so much must be held, whatever becomes of the answer.
+QUESTION_WORDS, QUESTION_OVERLAP = 10, 0.9
 GRAM = 3
+#: Pairs of passages and units whose scores are added up at once.
+PASSAGE_CELLS = 1 << 20
 #: Bytes of text worked on at once.
 TEXT_BLOCK = 1 << 19
 
@@ -73,6 +77,7 @@ class Unit:
     item_id: int
     words: np.ndarray
     parts: tuple[np.ndarray, np.ndarray, np.ndarray]  # trigrams of all, of the question, of the answer
+    least: float = 0.0  # share of all trigrams that must be held, if more than what is asked for
 
 
 def units_of(item_id: int, text: str | None) -> list[Unit]:
@@ -86,6 +91,9 @@ def units_of(item_id: int, text: str | None) -> list[Unit]:
         lo = max(0, hi - UNIT_WORDS)
         cut = min(max(n_question, lo), hi)
         out.append(Unit(item_id, w[lo:hi], tuple(np.unique(trigrams(x)) if len(x) else x for x in (w[lo:hi], w[lo:cut], w[cut:hi]))))
+    if QUESTION_WORDS <= n_question < len(w) and len(w) <= UNIT_WORDS:
+        question = out[0].parts[1]
+        out.append(Unit(item_id, w[:n_question], (question, question, out[0].parts[2]), QUESTION_OVERLAP))
     return out
 
 
@@ -126,21 +134,29 @@ class ImpactIndex:
         return np.where(self.terms[at] == w, at, -1)
 
     @staticmethod
-    def _all(first: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    def _all(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many entries each of the terms has, and their places."""
         n = first[terms + 1] - first[terms]
-        return np.repeat(first[terms] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return n, np.repeat(first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-    def retrieve(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """All units that the distinct ``terms`` score at least ``least`` on."""
-        c = self._all(self.first_cell, terms)
-        bound = np.bincount(self.cells[c] % self.n_blocks, self.cell_max[c], minlength=self.n_blocks)
-        open_ = bound >= least - 1e-9
-        if not open_.any():
-            return []
-        p = self._all(self.first, terms)
-        p = p[open_[self.unit[p] // BLOCK_UNITS]]
-        score = np.bincount(self.unit[p], self.impact[p], minlength=len(self.units))
-        return [(int(u), float(score[u])) for u in np.flatnonzero(score >= least - 1e-12)]
+    def opened(self, passage: np.ndarray, terms: np.ndarray, passages: int, least: float) -> np.ndarray:
+        """For each passage and block of units whether the block maxima of its distinct terms add up to ``least``."""
+        n, c = self._all(self.first_cell, terms)
+        cell = np.repeat(passage, n) * self.n_blocks + self.cells[c] % self.n_blocks
+        return np.bincount(cell, self.cell_max[c], minlength=passages * self.n_blocks).reshape(passages, self.n_blocks) >= least - 1e-9
+
+    def scored(self, passage: np.ndarray, terms: np.ndarray, open_: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, unit and score, of the units of open blocks that a passage's distinct terms score at least ``least`` on."""
+        n, p = self._all(self.first, terms)
+        at = np.repeat(passage, n)
+        some = open_[at, self.unit[p] // BLOCK_UNITS]
+        score = np.bincount(at[some] * len(self.units) + self.unit[p[some]], self.impact[p[some]])
+        found = np.flatnonzero(score >= least - 1e-12)
+        return found // len(self.units), found % len(self.units), score[found]
+
+    def retrieve(self, passage: np.ndarray, terms: np.ndarray, passages: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, unit and score of all units that a passage's distinct terms score at least ``least`` on."""
+        return self.scored(passage, terms, self.opened(passage, terms, passages, least), least)
 
 
 def share_of(part: np.ndarray, grams: np.ndarray) -> float:
@@ -165,6 +181,24 @@ def matches(index: ImpactIndex, docs: list[str | None], least_score: float, leas
         yield from _block_matches(index, block, parts, least_score, least_overlap)
 
 
+def _retrieved(index: ImpactIndex, steps: np.ndarray, pair: np.ndarray, held_term: np.ndarray, at: np.ndarray, least: float):
+    """First step, end, units and scores of the passages that retrieve any; so many passages at once that they have PASSAGE_CELLS pairs with
+    units."""
+    some, span = max(1, PASSAGE_CELLS // max(1, len(index.units))), len(index.terms) + 1
+    for lo in range(0, len(steps), some):
+        s = steps[lo : lo + some]
+        last = s + 1 + pair[s]
+        n = at[last] - at[s]
+        held = np.repeat(np.arange(len(s)), n) * span + held_term[np.repeat(at[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        held.sort()
+        held = held[np.append(True, held[1:] != held[:-1])[: len(held)]]
+        passage, unit, score = index.retrieve(held // span, held % span, len(s), least)
+        first = np.searchsorted(passage, np.arange(len(s) + 1))
+        for k in np.flatnonzero(np.diff(first)):
+            own = slice(first[k], first[k + 1])
+            yield s[k], last[k], list(zip(unit[own].tolist(), score[own].tolist()))
+
+
 def _block_matches(index: ImpactIndex, block: list[int], parts: list[bytes], least_score: float, least_overlap: float):
     w, starts = word_hashes(b" ".join(parts))
     if not len(w):
@@ -190,11 +224,9 @@ def _block_matches(index: ImpactIndex, block: list[int], parts: list[bytes], lea
     total = bound.copy()
     total[:-1] += np.where(pair[:-1], bound[1:], 0)
     best: dict[tuple[int, int], tuple] = {}
-    for s in np.flatnonzero((total >= least_score - 1e-9) & (pair | alone)):
-        last = s + 1 + bool(pair[s])
-        terms = np.unique(held_term[at[s] : at[last]])
+    for s, last, units in _retrieved(index, np.flatnonzero((total >= least_score - 1e-9) & (pair | alone)), pair, held_term, at, least_score):
         grams = None
-        for u, score in index.retrieve(terms, least_score):
+        for u, score in units:
             if grams is None:
                 d = step_doc[s]
                 lo = first[d] + (s - first_step[d]) * UNIT_WORDS
@@ -203,7 +235,7 @@ def _block_matches(index: ImpactIndex, block: list[int], parts: list[bytes], lea
             unit = index.units[u]
             held_in = passage if len(unit.words) < GRAM else grams
             overlap = share_of(unit.words if len(unit.words) < GRAM else unit.parts[0], held_in)
-            if overlap >= least_overlap:
+            if overlap >= max(least_overlap, unit.least):
                 row = (score, overlap, share_of(unit.parts[1], grams), share_of(unit.parts[2], grams), int(lo - first[d]))
                 key = (block[d], unit.item_id)
                 if key not in best or (row[1], row[0]) > (best[key][1], best[key][0]):

@@ -236,10 +236,23 @@ def test_retrieval_is_exact(documents):
         for t in terms:
             p = slice(index.first[t], index.first[t + 1])
             score[index.unit[p]] += index.impact[p]
-        got = dict(index.retrieve(terms, 0.3))
+        passage, unit, found = index.retrieve(np.concatenate([np.zeros(len(terms), np.int64), np.ones(1, np.int64)]), np.append(terms, terms[:1]), 2, 0.3)
+        got = dict(zip(unit[passage == 0].tolist(), found[passage == 0].tolist()))
         assert set(got) == set(np.flatnonzero(score >= 0.3 - 1e-12)) and all(abs(score[u] - s) < 1e-9 for u, s in got.items())
-    whole = index.retrieve(np.unique(index.term_numbers(units[7].words)), 0.99)
-    assert 7 in dict(whole)
+    own = np.unique(index.term_numbers(units[7].words))
+    assert 7 in index.retrieve(np.zeros(len(own), np.int64), own, 1, 0.99)[1]
+
+
+def test_a_question_without_its_answer_is_found(spark):
+    question = "what did the quick brown fox see when it jumped over the lazy old dog?"
+    answer = " ".join(f"answer{k}" for k in range(40)) + "."
+    items = spark.createDataFrame([(1, f"{question} {answer}"), (2, f"why not? {answer}")], "item_id long, text string")
+    other = " ".join(f"other{k}" for k in range(100))
+    rows = [(0, f"{other} {question} {other}"), (1, f"{other} why not? {other}"), (2, f"{other} what did the quick brown fox see {other}"), (3, other), (4, f"{other} {question} {answer}")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} >= {(0, 1), (4, 1)}
+    assert {r["doc_id"] for r in found} == {0, 4}
+    assert next(r["question_overlap"] for r in found if r["doc_id"] == 0) == 1.0
 
 
 def test_decontamination_of_odd_tables(spark, odd, nothing):
