@@ -204,7 +204,8 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[bytes]:
         get, known = self.memo.get, self._known
-        return [get(chunk) or known(chunk) for chunk in text.replace("\n", " ").split(" ")]
+        low = text.encode().lower().decode()  # bytes: only A-Z change, as normalising would have it
+        return [get(chunk) or known(chunk) for chunk in low.replace("\n", " ").split(" ")]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
