@@ -9,8 +9,9 @@ don't add up to the threshold has no hit; of the others, only the blocks of unit
 add up; in those, scores are exact. What is retrieved is verified: the share of the unit's word trigrams in the
 passage, of its question and its answer (the last sentence) each and together, must reach ``LEAST_OVERLAP`` together.
 
-An index has at most ``INDEX_UNITS`` units, which bounds what a task gets; more test items make more indexes, and
-the documents are read once for each.
+Units, their number, mean length and the units of each term are Spark tables over all items, so a unit's impacts do not
+depend on how many indexes there are. An index has some ``INDEX_UNITS`` / 2 units and is built in a task, which bounds what
+a task gets; the driver only passes it on. More test items make more indexes, and the documents are read once for each.
 
 Defined cases: null texts and texts without words match nothing, null and empty items are matched by nothing; items
 of fewer than three words match by their words; repeated documents and repeated items match alike; other columns are not read
@@ -19,6 +20,7 @@ of fewer than three words match by their words; repeated documents and repeated
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import batch, texts
+from spendscope.llm.common import batch, settle, texts
 from spendscope.llm.shingles import mixed, word_hashes
 
 UNIT_WORDS = 64
@@ -47,6 +49,10 @@ TEXT_BLOCK = 1 << 19
 #: A-Z to lower case, ASCII signs to spaces; letters of other alphabets are lower-cased before.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *[(x, pa.float64()) for x in ("score", "overlap", "question_overlap", "answer_overlap")], ("first_word", pa.int64())])
+_UNIT = pa.schema([("item_id", pa.int64()), ("deal", pa.int64()), *[(x, pa.binary()) for x in ("words", "whole", "question", "answer")], ("least", pa.float64())])
+UNIT = "item_id long, deal long, words binary, whole binary, question binary, answer binary, least double"
+_TERM = pa.schema([("deal", pa.int64()), ("term", pa.int64()), ("n", pa.int64())])
+_INDEX = pa.schema([("part", pa.int64()), ("index", pa.binary())])
 MATCH = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long"
 
 
@@ -97,20 +103,33 @@ def units_of(item_id: int, text: str | None) -> list[Unit]:
     return out
 
 
+@dataclass
+class Corpus:
+    """What BM25 asks about all units: their number and mean length; terms (sorted) and how many units hold each."""
+
+    units: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class ImpactIndex:
-    """Postings of impacts by term, units in blocks with the largest impact of each term."""
+    """Postings of impacts by term, units in blocks with the largest impact of each term. ``corpus`` has all terms of the units; without it the
+    units are all there are."""
 
-    def __init__(self, units: list[Unit]):
+    def __init__(self, units: list[Unit], corpus: Corpus | None = None):
         self.units = units
         n = len(units)
         terms, freqs = zip(*(np.unique(u.words, return_counts=True) for u in units)) if units else ((), ())
         unit = np.repeat(np.arange(n), [len(t) for t in terms])
         self.terms, term = np.unique(np.concatenate(terms) if units else np.zeros(0, np.uint64), return_inverse=True)
         tf = np.concatenate(freqs).astype(float) if units else np.zeros(0)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         size = np.array([len(u.words) for u in units], float)
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1.0)) if units else size
+        if corpus is None:
+            corpus = Corpus(n, size.mean() if units else 0.0, self.terms, np.bincount(term, minlength=len(self.terms)))
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log(1 + (corpus.units - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * size / max(corpus.mean, 1.0))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[unit])
         impact /= np.bincount(unit, impact, minlength=n)[unit]
         order = np.lexsort((unit, term))
@@ -244,17 +263,72 @@ def _block_matches(index: ImpactIndex, block: list[int], parts: list[bytes], lea
         yield i, item_id, *row
 
 
-def indexes(items: DataFrame, units: int = INDEX_UNITS):
-    """The indexes one after another, each of at most ``units`` units (of several thousand items)."""
+def unit_table(items: DataFrame) -> DataFrame:
+    """The units of all items; those of one item and text have one ``deal``."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    words = F.size(F.split("text", r"\s+")) + 1
-    total = rows.agg(F.coalesce(F.sum(F.ceil(words / UNIT_WORDS)), F.lit(0))).first()[0]
-    parts = max(1, -(-int(total) // max(1, units // 2)))  # hashing deals unevenly: half full on average
+
+    def cut(batches):
+        for b in batches:
+            out: dict[str, list] = {f.name: [] for f in _UNIT}
+            for item_id, text, deal in zip(*(c.to_pylist() for c in b.columns)):
+                for u in units_of(item_id, text):
+                    row = (u.item_id, deal, u.words.tobytes(), *(x.tobytes() for x in u.parts), u.least)
+                    for name, value in zip(out, row):
+                        out[name].append(value)
+            yield batch(out, _UNIT)
+
+    return settle(rows.withColumn("deal", F.xxhash64("item_id", "text")).mapInArrow(cut, UNIT), "test-units")
+
+
+def _words(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _terms(units: DataFrame) -> DataFrame:
+    """(deal, term, n): how many of a batch's units with that deal hold the term."""
+
+    def count(batches):
+        for b in batches:
+            words = [np.unique(w) for w in _words(b.column(1))]
+            deal = np.repeat(b.column(0).to_numpy(), [len(w) for w in words])
+            pairs = np.stack([deal, np.concatenate([np.zeros(0, np.uint64), *words]).view(np.int64)])
+            pairs, n = np.unique(pairs, axis=1, return_counts=True)
+            yield batch({"deal": pairs[0], "term": pairs[1], "n": n}, _TERM)
+
+    return units.select("deal", "words").mapInArrow(count, "deal long, term long, n long")
+
+
+def index_table(items: DataFrame, units: int = INDEX_UNITS) -> tuple[DataFrame, int]:
+    """(part, index) of the pickled indexes, one a row, and the number of parts. A part without units has no row."""
+    table = unit_table(items)
+    total, size = table.agg(F.count("*"), F.coalesce(F.sum(F.length("words") / 8), F.lit(0.0))).first()
+    parts = max(1, -(-total // max(1, units // 2)))  # hashing deals unevenly: half full on average
+    mean = size / max(total, 1)
+    part = F.pmod("deal", F.lit(parts)).alias("part")
+    terms = settle(_terms(table), "test-terms")
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    asked = terms.select(part, "term").distinct().join(df, "term")
+
+    def build(key, units: pa.Table, terms: pa.Table) -> pa.Table:
+        units = units.sort_by([(x, "ascending") for x in ("item_id", "deal", "least", "words")])
+        parts_ = zip(*(_words(units[x]) for x in ("whole", "question", "answer")))
+        own = [Unit(i, w, p, least) for i, w, p, least in zip(units["item_id"].to_pylist(), _words(units["words"]), parts_, units["least"].to_pylist())]
+        names = terms["term"].to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        index = ImpactIndex(own, Corpus(total, mean, names[order], terms["df"].to_numpy()[order]))
+        return pa.table({"part": [key[0].as_py()], "index": [pickle.dumps(index)]}, schema=_INDEX)
+
+    dealt = table.withColumn("part", part).groupBy("part")
+    return settle(dealt.cogroup(asked.groupBy("part")).applyInArrow(build, "part long, index binary"), "test-index"), parts
+
+
+def indexes(items: DataFrame, units: int = INDEX_UNITS):
+    """The indexes one after another, as the tasks built them."""
+    table, parts = index_table(items, units)
     for k in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        found = [u for r in part.orderBy("item_id", "text").collect() for u in units_of(r["item_id"], r["text"])]
-        if found:
-            yield ImpactIndex(found)
+        row = table.filter(F.col("part") == k).select("index").first()
+        if row is not None:
+            yield pickle.loads(row["index"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
@@ -277,7 +351,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_S
 def keep_clean(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
     """The documents that hold no test item, all columns as they are."""
     at = docs.columns.index("text")
-    for index in indexes(items):
+    for k, index in enumerate(indexes(items)):
+        if k:
+            docs = settle(docs, "clean")  # a task holds one index
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches, sent=sent):

@@ -270,6 +270,26 @@ def test_decontamination_of_odd_tables(spark, odd, nothing):
     assert sum(len(i.units) for i in many) == 3
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    tests = [" ".join(f"w{k}" for k in rng.zipf(1.5, rng.integers(2, 90)) % 500) for _ in range(60)] + [None, ""]
+    items = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(tests)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(tests)], "doc_id long, text string")
+    whole = [u for i, t in enumerate(tests) for u in decontaminate.units_of(i if i % 9 else None, t)]
+    plain = decontaminate.ImpactIndex(whole)
+    impacts = lambda index: sorted((index.units[u].words.tobytes(), round(x, 9)) for u, x in zip(index.unit, index.impact))
+    parts = list(decontaminate.indexes(items, units=20))
+    assert len(parts) > 3 and sorted(x for p in parts for x in impacts(p)) == impacts(plain)
+    found = lambda: sorted((r["doc_id"], r["item_id"] or 0, round(r["score"], 9), r["overlap"]) for r in decontaminate.contaminated(docs, items).collect())
+    one, clean = found(), sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect())
+    assert {d for d, *_ in one} == set(range(60)) and clean == [60, 61]
+    several = decontaminate.indexes
+    monkeypatch.setattr(decontaminate, "indexes", lambda items: several(items, units=60))
+    # items without an id are one item in an index, so their rows are compared as a set of documents
+    assert [r for r in found() if r[1]] == [r for r in one if r[1]] and {r[0] for r in found()} == {r[0] for r in one}
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()) == clean
+
+
 @pytest.mark.parametrize("n", [65, 66, 67, 70, 129])
 def test_the_rest_of_a_long_item_is_no_unit_of_its_own(spark, n):
     item = [f"i{k}" for k in range(n)]
