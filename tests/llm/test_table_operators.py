@@ -184,6 +184,19 @@ def test_jaccard_of_odd_tables(odd, nothing):
     assert jaccard_join.similar_groups(nothing).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_texts_that_share_a_doc_id_are_each_linked(spark, order):
+    rng = random.Random(8)
+    long, short = prose(rng, 900), prose(rng, 60)
+    near = lambda text: text + " " + prose(rng, 3)
+    rows = [(5, short), (5, long), (9, near(long)), (2, near(short)), (5, "quite another text of a few words"), (7, prose(rng, 60))]
+    rows = [*rows, *((k, prose(rng, 80)) for k in range(20, 60))][::order]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_groups(docs).collect()}
+    assert {c for d, c in got if d in (2, 9)} == {2} and (5, 2) in got and (7, 7) in got
+    assert all(d == c for d, c in got if d >= 20)
+
+
 def test_prefixes():
     s = np.arange(100, dtype=np.uint64)
     none = np.zeros(0, np.uint64)
