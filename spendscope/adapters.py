@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendscope.functions.spread import spread
 from spendscope.schema import as_usage
 
 LOG_MODELS = [
@@ -34,7 +35,7 @@ BUCKET_MODELS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(values: list[str], index: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions.hashing import new_salt
 from spendscope.functions.joins import checked_broadcast
+from spendscope.functions.spread import spread
 from spendscope.functions.tables import Workspace
 from spendscope.operators import quality
 from spendscope.schema import empty_invoice, empty_usage
@@ -72,7 +73,7 @@ def load_usage(
     if logs_jsonl:
         lines = request_log.read_lines(spark, logs_jsonl)
         evals = space.settle(request_log.eval_files(lines), "eval-files")
-        records = request_log.parsed(request_log.without_eval_files(lines, evals))
+        records = request_log.parsed(request_log.without_eval_files(spread(lines), evals))
         usage.append(request_log.request_rows(records, salt or new_salt()))
         notes.append(quality.unusable_lines(request_log.lines_without_usage(records)))
     if usage_csv:
