@@ -108,9 +108,13 @@ def src_anthropic_costs(spark, sf_dir):
     return tidy(exports.anthropic_costs(exports.results(pages)))
 
 
+def _file_kinds(spark, sf_dir):
+    return exports.detect_kind(exports.pages_from_text(raw.mixed_pages(spark, sf_dir), exports.KIND_FIELDS, []))
+
+
 @query
 def detect_kind(spark, sf_dir):
-    return exports.detect_kind(exports.pages_from_text(raw.mixed_pages(spark, sf_dir))).select("source", "n_pages", "kind")
+    return _file_kinds(spark, sf_dir).select("source", "n_pages", "kind")
 
 
 def _log_records(spark, sf_dir):
@@ -327,13 +331,13 @@ def reconcile(spark, sf_dir):
 @query
 def data_quality(spark, sf_dir):
     usage = adapters.usage(spark, sf_dir)
-    results = exports.results(exports.pages_from_text(raw.openai_usage_pages(spark, sf_dir)))
-    report = exports.results(exports.pages_from_text(raw.anthropic_usage_pages(spark, sf_dir)))
+    results = exports.results(exports.pages_from_text(raw.openai_usage_pages(spark, sf_dir), exports.SKIPPED_FIELDS, []))
+    report = exports.results(exports.pages_from_text(raw.anthropic_usage_pages(spark, sf_dir), exports.LONG_CONTEXT_FIELDS, []))
     parts = [
         quality.usage_notes(spark, usage),
         quality.skipped_results(exports.skipped_results(results)),
         quality.long_context(exports.long_context_rows(report)),
-        quality.empty_exports(exports.detect_kind(exports.pages_from_text(raw.mixed_pages(spark, sf_dir)))),
+        quality.empty_exports(_file_kinds(spark, sf_dir)),
         quality.unusable_lines(request_log.lines_without_usage(_log_records(spark, sf_dir))),
         quality.stale_prices(spark, STALE_ON),
     ]

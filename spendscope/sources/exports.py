@@ -8,6 +8,8 @@ the source, a bare name, only groups rows into periods. Numbers arrive as their
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +19,28 @@ from spendscope.schema import as_invoice, as_usage, first_non_blank
 
 # Every field the exports carry, as one type: pages are parsed once, straight into columns. ``amount`` is an
 # object in one export and a text in the other; as STRING it holds either.
-RESULT = (
-    "struct<object:string,model:string,project_id:string,api_key_id:string,user_id:string,workspace_id:string,"
-    "num_model_requests:string,batch:boolean,service_tier:string,speed:string,inference_geo:string,"
-    "context_window:string,input_tokens:string,input_cached_tokens:string,input_cache_write_tokens:string,"
-    "input_uncached_tokens:string,output_tokens:string,uncached_input_tokens:string,cache_read_input_tokens:string,"
-    "cache_creation:struct<ephemeral_5m_input_tokens:string,ephemeral_1h_input_tokens:string>,"
-    "server_tool_use:struct<web_search_requests:string>,amount:string,currency:string,line_item:string,"
-    "description:string>"
-)
-BUCKETS = (
-    "array<struct<start_time:string,end_time:string,starting_at:string,ending_at:string,"
-    f"results:array<{RESULT}>>>"
-)
-PAGE = f"struct<data:{BUCKETS}>"
+RESULT_FIELDS = {
+    **dict.fromkeys(
+        (
+            "object model project_id api_key_id user_id workspace_id num_model_requests service_tier speed inference_geo "
+            "context_window input_tokens input_cached_tokens input_cache_write_tokens input_uncached_tokens output_tokens "
+            "uncached_input_tokens cache_read_input_tokens amount currency line_item description"
+        ).split(),
+        "string",
+    ),
+    "batch": "boolean",
+    "cache_creation": "struct<ephemeral_5m_input_tokens:string,ephemeral_1h_input_tokens:string>",
+    "server_tool_use": "struct<web_search_requests:string>",
+}
+
+
+BOUNDS = ["start_time", "end_time", "starting_at", "ending_at"]
+
+
+def buckets_type(fields: Iterable[str] = RESULT_FIELDS, bounds: Iterable[str] = BOUNDS) -> str:
+    result = ",".join(f"{name}:{RESULT_FIELDS[name]}" for name in fields)
+    return f"array<struct<{''.join(f'{name}:string,' for name in bounds)}results:array<struct<{result}>>>>"
+
 
 # Result kinds of the exports.
 OPENAI_COMPLETIONS = "organization.usage.completions.result"
@@ -38,11 +48,16 @@ OPENAI_EMBEDDINGS = "organization.usage.embeddings.result"
 OPENAI_COSTS = "organization.costs.result"
 OPENAI_USAGE_FAMILY = "organization.usage."
 LONG_CONTEXT_WINDOW = "200k-1M"
+KINDS = ["openai_costs", "openai_embeddings", "openai_usage", "anthropic_usage", "anthropic_costs", "unknown"]
+#: The fields of a result that tell the kind of its file, and those that the notes are about.
+KIND_FIELDS = ["object", "uncached_input_tokens", "amount", "currency"]
+SKIPPED_FIELDS = ["object"]
+LONG_CONTEXT_FIELDS = ["context_window"]
 
 
 def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """JSON export files: one page object, or a list of pages, per file."""
-    raw = spark.read.schema(f"data {BUCKETS}").option("multiLine", True).option("mode", "FAILFAST").json(paths)
+    raw = spark.read.schema(f"data {buckets_type()}").option("multiLine", True).option("mode", "FAILFAST").json(paths)
     return raw.select(
         F.col("_metadata.file_name").alias("source"),
         F.col("_metadata.file_path").alias("path"),
@@ -51,23 +66,28 @@ def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def pages_from_text(texts: DataFrame) -> DataFrame:
-    """(source, path, page_seq, page) with the page as JSON text -> pages. Without a path, the source is the file."""
+def pages_from_text(texts: DataFrame, fields: Iterable[str] = RESULT_FIELDS, bounds: Iterable[str] = BOUNDS) -> DataFrame:
+    """(source, path, page_seq, page) with the page as JSON text -> pages. Without a path, the source is the file.
+
+    ``fields`` and ``bounds`` are those that the readers of results and buckets use: each one costs time, numbers most of
+    all, since their texts are kept.
+    """
     path = "path" if "path" in texts.columns else "source"
-    data = F.from_json("page", PAGE, {"mode": "FAILFAST"})["data"]
+    data = F.from_json("page", f"struct<data:{buckets_type(fields, bounds)}>", {"mode": "FAILFAST"})["data"]
     return texts.select("source", F.col(path).alias("path"), "page_seq", data.alias("data"))
 
 
 def results(pages: DataFrame) -> DataFrame:
     """One row per result. The outer form of explode keeps the planner from adding a filter on the array,
     which would parse every page a second time."""
+    bounds = [c for c in BOUNDS if c in pages.schema["data"].dataType.elementType.names]
     buckets = pages.select("source", "path", "page_seq", F.posexplode_outer("data").alias("bucket_no", "bucket"))
     return buckets.select(
         "source",
         "path",
         "page_seq",
         "bucket_no",
-        *[F.col(f"bucket.{c}").alias(c) for c in ("start_time", "end_time", "starting_at", "ending_at")],
+        *[F.col(f"bucket.{c}").alias(c) for c in bounds],
         F.posexplode_outer("bucket.results").alias("result_no", "v"),
     ).filter(F.col("v").isNotNull())
 
@@ -84,21 +104,33 @@ def _object() -> Column:
     return F.coalesce(_v("object"), F.lit(""))
 
 
+def _first_result() -> Column:
+    """The first result of a page; NULL where it has none."""
+    listed = F.transform("data", lambda bucket: F.coalesce(bucket["results"], F.array()))
+    return F.get(F.filter(F.flatten(listed), lambda v: v.isNotNull()), F.lit(0))
+
+
 def detect_kind(pages: DataFrame) -> DataFrame:
-    """Kind of every file, from its first result: one minimum per file, combined map-side."""
+    """Kind of every file, from its first result: one pass, and one minimum per file, combined map-side.
+
+    Kinds are numbers until the end: a text can't be updated in place, so its minimum would have every page sorted.
+    """
+    code = {name: F.lit(i) for i, name in enumerate(KINDS, 1)}
     kind = (
-        F.when(_object() == OPENAI_COSTS, "openai_costs")
-        .when(_object() == OPENAI_EMBEDDINGS, "openai_embeddings")
-        .when(_object().startswith(OPENAI_USAGE_FAMILY), "openai_usage")
-        .when(_v("uncached_input_tokens").isNotNull(), "anthropic_usage")
-        .when(_v("amount").isNotNull() & _v("currency").isNotNull(), "anthropic_costs")
-        .otherwise("unknown")
+        F.when(_object() == OPENAI_COSTS, code["openai_costs"])
+        .when(_object() == OPENAI_EMBEDDINGS, code["openai_embeddings"])
+        .when(_object().startswith(OPENAI_USAGE_FAMILY), code["openai_usage"])
+        .when(_v("uncached_input_tokens").isNotNull(), code["anthropic_usage"])
+        .when(_v("amount").isNotNull() & _v("currency").isNotNull(), code["anthropic_costs"])
+        .otherwise(code["unknown"])
+    )
+    heads = pages.select("path", "source", "page_seq", _first_result().alias("v"))
+    found = F.col("v").isNotNull()
+    kinds = heads.groupBy("path", "source").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.min_by(F.when(found, kind), F.when(found, F.col("page_seq"))).alias("code")
     )
-    position = F.struct("page_seq", "bucket_no", "result_no")
-    first = results(pages).groupBy("path").agg(F.min_by(kind, position).alias("kind"))
-    files = pages.groupBy("path").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n_pages"))
-    kinds = files.join(first, "path", "left")
-    return kinds.select("path", "source", "n_pages", F.coalesce("kind", F.lit("empty")).alias("kind"))
+    name = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("code") - 1)
+    return kinds.select("path", "source", "n_pages", F.coalesce(name, F.lit("empty")).alias("kind"))
 
 
 def _openai_bucket() -> list[Column]:
