@@ -213,7 +213,10 @@ class Analysis:
             ]
         )
 
-    # -- action tables
+    # -- action tables: each reads its own lever alone, so none waits for the replay or the duplicate check of another
+
+    def _totals(self, lever: DataFrame) -> DataFrame:
+        return lv.lever_totals(self.spark, lever, batchable=bool(self.batchable))
 
     @cached_property
     def plan_migration(self) -> DataFrame:
@@ -221,7 +224,7 @@ class Analysis:
 
     @cached_property
     def plan_routing(self) -> DataFrame:
-        return actions.plan_routing(self.spark, self.levers, self.chat_cells)
+        return actions.plan_routing(self.spark, self._totals(self.routing), self.chat_cells)
 
     @cached_property
     def plan_cache(self) -> DataFrame:
@@ -233,11 +236,11 @@ class Analysis:
 
     @cached_property
     def plan_max_tokens(self) -> DataFrame:
-        return actions.plan_max_tokens(self.levers, self.chat_usage)
+        return actions.plan_max_tokens(self._totals(self.output), self.chat_usage)
 
     @cached_property
     def plan_duplicates(self) -> DataFrame:
-        return actions.plan_duplicates(self.lever_detail)
+        return actions.plan_duplicates(lv.lever_detail(self.duplicates))
 
     @cached_property
     def plan_fast(self) -> DataFrame:

@@ -3,9 +3,9 @@
 import json
 
 import pytest
-from pyspark.errors import PySparkException
 
 from spendscope import raw_adapters as raw
+from spendscope.operators import duplicates, reuse
 from spendscope.queries import queries
 from spendscope.sources import exports
 
@@ -34,7 +34,7 @@ def test_notes_parse_only_what_they_are_about(spark, monkeypatch):
 def test_a_page_that_is_not_json_stops_every_reader(spark):
     texts = spark.createDataFrame([("a.json", 1, '{"data":[{"results":[{"object":"x","output_tokens":1}')], "source string, page_seq bigint, page string")
     for fields in (exports.SKIPPED_FIELDS, exports.LONG_CONTEXT_FIELDS, exports.KIND_FIELDS):
-        with pytest.raises(PySparkException):
+        with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING"):
             exports.results(exports.pages_from_text(texts, fields, [])).collect()
 
 
@@ -57,3 +57,16 @@ def test_kinds_are_found_without_a_sort(spark):
 def test_no_stage_is_one_method_too_large_to_be_compiled(spark):
     queries()["src_openai_usage"](spark, SMALLEST)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+# ---- action tables
+
+
+@pytest.mark.parametrize("name", ["plan_max_tokens"])
+def test_a_plan_computes_no_lever_but_its_own(spark, monkeypatch, name):
+    def refused(*_):
+        raise AssertionError("the replay or the duplicate check is not needed here")
+
+    monkeypatch.setattr(reuse, "cache_replay", refused)
+    monkeypatch.setattr(duplicates, "duplicate_rates", refused)
+    queries()[name](spark, SMALLEST).collect()
