@@ -244,7 +244,7 @@ class Analysis:
 
     @cached_property
     def plan_fast(self) -> DataFrame:
-        return actions.plan_fast(self.levers, self.chat_spend)
+        return actions.plan_fast(self._totals(self.fast_mode), self.chat_spend)
 
     # -- summary
 
