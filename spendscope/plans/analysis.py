@@ -220,7 +220,7 @@ class Analysis:
 
     @cached_property
     def plan_migration(self) -> DataFrame:
-        return actions.plan_migration(self.lever_detail, self.chat_spend)
+        return actions.plan_migration(lv.lever_detail(self.migration), self.chat_spend)
 
     @cached_property
     def plan_routing(self) -> DataFrame:
