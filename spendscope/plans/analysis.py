@@ -232,7 +232,7 @@ class Analysis:
 
     @cached_property
     def plan_batch(self) -> DataFrame:
-        return actions.plan_batch(self.lever_detail)
+        return actions.plan_batch(lv.lever_detail(self.batch))
 
     @cached_property
     def plan_max_tokens(self) -> DataFrame:

@@ -62,7 +62,7 @@ def test_no_stage_is_one_method_too_large_to_be_compiled(spark):
 # ---- action tables
 
 
-@pytest.mark.parametrize("name", ["plan_migration", "plan_fast", "plan_max_tokens"])
+@pytest.mark.parametrize("name", ["plan_migration", "plan_batch", "plan_fast", "plan_max_tokens"])
 def test_a_plan_computes_no_lever_but_its_own(spark, monkeypatch, name):
     def refused(*_):
         raise AssertionError("the replay or the duplicate check is not needed here")
