@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spendscope.functions.identity import is_failed
 from spendscope.operators.cells import start_us
 from spendscope.operators.pricing import priced_usage
-from spendscope.operators.recency import moment, moment_us, slice_edges, slice_of
+from spendscope.operators.recency import moment, slice_edges, slice_of
 
 # Fixed value: how long after a request an identical one counts as a repeat.
 DUPLICATE_WINDOW_SECONDS = 24 * 3600
@@ -19,7 +19,7 @@ _KEYS = ["model_key", "request_hash"]
 
 def _first_repeats() -> Column:
     """The first request of a slice repeats the slice before it when that one is recent enough."""
-    gap = moment_us(F.col("first_moment")) - F.col("prev_us")
+    gap = F.col("first_us") - F.col("prev_us")
     return F.coalesce(gap <= F.lit(DUPLICATE_WINDOW_SECONDS * 1_000_000), F.lit(False))
 
 
@@ -35,7 +35,7 @@ def _hashable(spark: SparkSession, usage: DataFrame) -> DataFrame:
 def duplicate_calls(spark: SparkSession, usage: DataFrame) -> DataFrame:
     """The repeated requests themselves."""
     rows = _hashable(spark, usage).filter(F.col("request_hash").isNotNull())
-    rows = rows.select(*_KEYS, "slice", "moment", "source", "seq", "timestamp", "cost_usd")
+    rows = rows.select(*_KEYS, "slice", "at_us", "moment", "source", "seq", "timestamp", "cost_usd")
     edges = slice_edges(rows, _KEYS).select(*_KEYS, "slice", "first_moment", _first_repeats().alias("first_repeats"))
     # Not the first of its slice, or the first and recent enough. A hot (hash, slice) is split by AQE.
     return (
@@ -55,6 +55,7 @@ def duplicate_rates(spark: SparkSession, usage: DataFrame) -> DataFrame:
     rows = _hashable(spark, usage).select(
         *_KEYS,
         "slice",
+        F.when(F.col("request_hash").isNotNull(), F.col("at_us")).alias("at_us"),
         "moment",
         "cost_usd",
         F.when(is_failed(), F.col("cost_usd")).otherwise(F.lit(0.0)).alias("failed_cost"),

@@ -22,26 +22,27 @@ def moment(at: str = "at_us", seq: str = "seq") -> Column:
     return F.col(at).cast("decimal(18,0)") * F.lit(_SEQ_RANGE).cast("decimal(20,0)") + F.col(seq).cast("decimal(19,0)")
 
 
-def moment_us(packed: Column) -> Column:
-    return F.floor(packed / F.lit(_SEQ_RANGE).cast("decimal(20,0)")).cast("bigint")
-
-
 def slice_of(at: str, seconds: int) -> Column:
     return F.floor(F.col(at) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
 def slice_edges(rows: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    """One row per (keys, slice): its first and last moment, and the times right outside of it.
+    """One row per (keys, slice): its first and last moment, their times, and the times right outside of it.
 
-    ``rows`` carries ``slice`` and ``moment``; ``extra`` are further aggregates of the group.
+    ``rows`` carries ``slice``, ``at_us`` and ``moment``; ``extra`` are further aggregates of the group. Times are kept
+    beside the moments: to divide them out of so long a number again would cost more than the rest of a row.
     """
     groups = rows.groupBy(*keys, "slice").agg(
-        F.min("moment").alias("first_moment"), F.max("moment").alias("last_moment"), *extra
+        F.min("moment").alias("first_moment"),
+        F.max("moment").alias("last_moment"),
+        F.min("at_us").alias("first_us"),
+        F.max("at_us").alias("last_us"),
+        *extra,
     )
     across = Window.partitionBy(*keys).orderBy("slice")
     return groups.withColumns(
         {
-            "prev_us": moment_us(F.lag("last_moment").over(across)),
-            "next_us": moment_us(F.lead("first_moment").over(across)),
+            "prev_us": F.lag("last_us").over(across),
+            "next_us": F.lead("first_us").over(across),
         }
     )

@@ -7,12 +7,15 @@ pass: the slices are no longer than the shortest TTL, and the gaps across slices
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendscope.operators.cells import has_fingerprint, start_us
 from spendscope.operators.pricing import priced_usage, row_scales
-from spendscope.operators.recency import moment, moment_us, slice_edges, slice_of
+from spendscope.operators.recency import moment, slice_edges, slice_of
 from spendscope.price_dim import HOUR_SECONDS, price_book, price_rows
 from spendscope.schema import total_input
 
@@ -56,24 +59,36 @@ def cache_replay(spark: SparkSession, usage: DataFrame) -> DataFrame:
     totals = total_input().cast("double")
     in_scale, _ = row_scales()
     per_char = F.coalesce(totals / F.nullif(F.element_at("prefix_chars", -1), F.lit(0)), F.lit(0.0))
-    blocks = (
-        fingerprinted_requests(spark, usage)
-        .withColumn("block", F.explode(_own_deepest_blocks()))
-        .select(
-            "model_key",
-            F.col("block.prefix_hash").alias("prefix_hash"),
-            "at_us",
-            "source",
-            "seq",
-            slice_of("at_us", shortest_ttl()).alias("slice"),
-            moment().alias("moment"),
-            F.col("block.pos").alias("pos"),
-            (F.coalesce("block.chars", F.lit(0)) * per_char).alias("tokens"),
-            totals.alias("total"),
-            in_scale.alias("in_scale"),
-        )
+    # What a request's blocks share is computed before they are taken apart.
+    calls = fingerprinted_requests(spark, usage).select(
+        "model_key",
+        "at_us",
+        "source",
+        "seq",
+        slice_of("at_us", shortest_ttl()).alias("slice"),
+        moment().alias("moment"),
+        per_char.alias("per_char"),
+        totals.alias("total"),
+        in_scale.alias("in_scale"),
+        "prefix_hashes",
+        "prefix_chars",
+    )
+    # The outer form keeps the planner from adding a filter on the array, which would build it twice.
+    blocks = calls.select("*", F.posexplode_outer(_own_deepest_blocks()).alias("block_no", "block")).select(
+        "model_key",
+        F.col("block.prefix_hash").alias("prefix_hash"),
+        "at_us",
+        "source",
+        "seq",
+        "slice",
+        "moment",
+        F.col("block.pos").alias("pos"),
+        (F.col("block_no") == 0).alias("is_head"),
+        (F.coalesce("block.chars", F.lit(0)) * F.col("per_char")).alias("tokens"),
+        "total",
+        "in_scale",
     )
-    edges = slice_edges(blocks, _PREFIX)
+    edges = slice_edges(blocks, _PREFIX).select(*_PREFIX, "slice", "first_moment", "last_moment", "prev_us", "next_us")
     book = price_book(spark)
     ttls = book.select(
         "model_key",
@@ -88,6 +103,9 @@ def cache_replay(spark: SparkSession, usage: DataFrame) -> DataFrame:
             "gap_reuse": F.when(F.col("moment") == F.col("last_moment"), F.col("next_us") - F.col("at_us")).otherwise(0),
         }
     )
+    # A block that was used neither before nor after in time says nothing; each request keeps one row, its first block.
+    used = reduce(or_, [F.col(f"gap_{kind}") <= F.col(f"ttl_{o}") for kind in ("hit", "reuse") for o in _OPTIONS])
+    seen = seen.filter(F.col("is_head") | F.coalesce(used, F.lit(False)))
     calls = seen.groupBy("model_key", "source", "seq").agg(
         *[F.max(c).alias(c) for c in ("at_us", "total", "in_scale")],
         *[

@@ -228,7 +228,7 @@ class Analysis:
 
     @cached_property
     def plan_cache(self) -> DataFrame:
-        return actions.plan_cache(self.lever_detail, self.cache_rates, self.stable_prefix, self.chat_spend)
+        return actions.plan_cache(lv.lever_detail(self.caching), self.cache_rates, self.stable_prefix, self.chat_spend)
 
     @cached_property
     def plan_batch(self) -> DataFrame:

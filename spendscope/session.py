@@ -8,11 +8,16 @@ from pyspark.sql import SparkSession
 #: HotSpot never compiles a larger method: generated code beyond it would be interpreted, several times slower.
 HUGE_METHOD_BYTES = 8000
 
+#: Once both sides of a join are shuffled, and every partition of one is known to be smaller, Spark hashes it instead of
+#: sorting both sides.
+HASHED_SIDE_BYTES = 64 << 20
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Hour-of-day, dates and timestamp casts are defined in UTC; wide rows (export parsing) run operator by operator
     where their stage would be one method too large to be compiled."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD_BYTES))
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(HASHED_SIDE_BYTES))
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

@@ -70,3 +70,8 @@ def test_a_plan_computes_no_lever_but_its_own(spark, monkeypatch, name):
     monkeypatch.setattr(reuse, "cache_replay", refused)
     monkeypatch.setattr(duplicates, "duplicate_rates", refused)
     queries()[name](spark, SMALLEST).collect()
+
+
+def test_a_plan_of_caching_checks_no_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "duplicate_rates", None)
+    queries()["plan_cache"](spark, SMALLEST).collect()
