@@ -12,12 +12,19 @@ HUGE_METHOD_BYTES = 8000
 #: sorting both sides.
 HASHED_SIDE_BYTES = 64 << 20
 
+#: Rows and bytes of one Arrow batch sent to Python. Spark's own 10,000 rows are hundreds of MB of prompts, held by each of
+#: an executor's workers several times over (Arrow, Python strings, results).
+BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Hour-of-day, dates and timestamp casts are defined in UTC; wide rows (export parsing) run operator by operator
     where their stage would be one method too large to be compiled."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(HUGE_METHOD_BYTES))
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(HASHED_SIDE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

@@ -2,7 +2,9 @@
 
 import json
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from spendscope import raw_adapters as raw
 from spendscope.operators import duplicates, reuse
@@ -75,3 +77,21 @@ def test_a_plan_computes_no_lever_but_its_own(spark, monkeypatch, name):
 def test_a_plan_of_caching_checks_no_duplicates(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "duplicate_rates", None)
     queries()["plan_cache"](spark, SMALLEST).collect()
+
+
+# ---- fingerprints
+
+
+@pytest.mark.parametrize("name", ["fp_request_hash"])
+def test_python_gets_small_batches_of_prompts(spark, name):
+    for size in ("Records", "Bytes"):
+        spark.conf.unset(f"spark.sql.execution.arrow.max{size}PerBatch")
+    queries()[name](spark, SMALLEST)
+    seen = F.pandas_udf(lambda texts: pd.Series([[len(texts), sum(map(len, texts))]] * len(texts)), "array<bigint>")
+
+    def largest(rows):
+        sizes = rows.coalesce(1).select(seen("text").alias("s")).agg(F.max(F.col("s")[0]), F.max(F.col("s")[1]))
+        return sizes.first()
+
+    assert largest(spark.range(2000).select(F.lit("x").alias("text")))[0] <= 512
+    assert largest(spark.range(40).select(F.repeat(F.lit("x"), 1 << 20).alias("text")))[1] <= 20 << 20
