@@ -82,7 +82,7 @@ def test_a_plan_of_caching_checks_no_duplicates(spark, monkeypatch):
 # ---- fingerprints
 
 
-@pytest.mark.parametrize("name", ["fp_request_hash"])
+@pytest.mark.parametrize("name", ["fp_request_hash", "fp_redact"])
 def test_python_gets_small_batches_of_prompts(spark, name):
     for size in ("Records", "Bytes"):
         spark.conf.unset(f"spark.sql.execution.arrow.max{size}PerBatch")
