@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.price_dim import ALIASES
@@ -23,19 +23,37 @@ def _renamed(value: Column, names: dict[str, str]) -> Column:
 _BLANKS = " \t\n\r\f\x0b"
 
 
+def _trimmed(raw: Column) -> Column:
+    return F.btrim(F.lower(raw), F.lit(_BLANKS))
+
+
+def _unrouted(bare: Column) -> Column:
+    routed = bare.contains("openai") | bare.contains("anthropic")
+    return F.when(routed, F.regexp_replace(bare, VENDOR_PREFIX, "")).otherwise(bare)
+
+
+def _undated(bare: Column) -> Column:
+    # A snapshot suffix is a version or ends in a two-digit day.
+    digits = F.translate(F.right(bare, F.lit(2)), "0123456789", "0000000000") == "00"
+    return F.when(digits | bare.contains("-v"), F.regexp_replace(bare, SNAPSHOT_SUFFIXES, "")).otherwise(bare)
+
+
 def model_key(model: Column | str) -> Column:
     """Raw model id (snapshot, gateway or cloud id) -> key of the price dimension.
 
     The two patterns cost more than pricing the row, so plain string tests decide whether a row needs them.
     """
     raw = F.col(model) if isinstance(model, str) else model
-    bare = F.btrim(F.lower(raw), F.lit(_BLANKS))
-    routed = bare.contains("openai") | bare.contains("anthropic")
-    bare = F.when(routed, F.regexp_replace(bare, VENDOR_PREFIX, "")).otherwise(bare)
-    # A snapshot suffix is a version or ends in a two-digit day.
-    digits = F.translate(F.right(bare, F.lit(2)), "0123456789", "0000000000") == "00"
-    bare = F.when(digits | bare.contains("-v"), F.regexp_replace(bare, SNAPSHOT_SUFFIXES, "")).otherwise(bare)
-    return _renamed(bare, ALIASES)
+    return _renamed(_undated(_unrouted(_trimmed(raw))), ALIASES)
+
+
+def with_model_key(rows: DataFrame) -> DataFrame:
+    """``model_key`` of ``model``, step by step: every step names its input several times, and in one expression each
+    mention would be computed again, patterns included."""
+    bare = F.col("model_key")
+    rows = rows.withColumn("model_key", _trimmed(F.col("model")))
+    rows = rows.withColumn("model_key", _unrouted(bare)).withColumn("model_key", _undated(bare))
+    return rows.withColumn("model_key", _renamed(bare, ALIASES))
 
 
 def vendor_of(model: Column | str) -> Column:

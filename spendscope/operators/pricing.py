@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.functions.identity import model_key
+from spendscope.functions.identity import with_model_key
 from spendscope.price_dim import (
     US_GEO_MULTIPLIER,
     WEB_SEARCH_USD_PER_1K,
@@ -73,7 +73,7 @@ def cost_parts(prefix: str = "", token_scale: Column | None = None) -> dict[str,
 
 
 def keyed(usage: DataFrame) -> DataFrame:
-    return usage if "model_key" in usage.columns else usage.withColumn("model_key", model_key("model"))
+    return usage if "model_key" in usage.columns else with_model_key(usage)
 
 
 def with_prices(spark: SparkSession, usage: DataFrame) -> DataFrame:

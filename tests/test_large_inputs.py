@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendscope import raw_adapters as raw
-from spendscope.operators import duplicates, reuse
+from spendscope.functions import identity
+from spendscope.operators import duplicates, pricing, reuse
 from spendscope.queries import queries
 from spendscope.sources import exports
 
@@ -95,3 +96,14 @@ def test_python_gets_small_batches_of_prompts(spark, name):
 
     assert largest(spark.range(2000).select(F.lit("x").alias("text")))[0] <= 512
     assert largest(spark.range(40).select(F.repeat(F.lit("x"), 1 << 20).alias("text")))[1] <= 20 << 20
+
+
+# ---- model keys
+
+
+def test_the_patterns_of_a_model_id_run_once_a_row(spark):
+    ids = ["gpt-5.4-2026-03-05", " GPT-4o-2024-08-06", "anthropic.claude-haiku-4-5-20251001-v1:0", "us.anthropic.claude-opus-5", "x-v", "", None]
+    rows = spark.createDataFrame([(i,) for i in ids], "model string").repartition(2)
+    keys = pricing.keyed(rows)
+    assert plan_of(keys).count("regexp_replace") == 2
+    assert keys.filter(~F.col("model_key").eqNullSafe(identity.model_key("model"))).count() == 0 and keys.count() == len(ids)
