@@ -21,6 +21,7 @@ are predicted alike; other columns are not read (``keep_known`` returns them as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -63,48 +64,52 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of the texts' letters, and where each text's begin (one bound more than texts).
+def gram_blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the n-grams of the texts' letters, and where each text's begin (one bound more than texts), of so many
+    texts at a time that they have ``BLOCK`` code points; a longer text makes a block of its own.
     Runs of other characters count as one gap; every text begins and ends with a gap."""
-    letter, empty = _letters(), np.zeros(0, np.uint64)
-    hashes, bounds = [], [0]
     block: list[str] = []
-
-    def flush() -> None:
-        if not block:
-            return
-        a = np.frombuffer((" " + " \0 ".join(block) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(letter[a], a, np.where(a == 0, 0, 32)).astype(np.uint64)
-        first = np.ones(len(code), bool)
-        first[1:] = (code[1:] != 32) | (code[:-1] != 32)  # one character for each gap
-        code = code[first]
-        split, is_letter = code == 0, (code != 0) & (code != 32)
-        n = len(code) - GRAM + 1
-        if n <= 0:
-            bounds.extend([bounds[-1]] * len(block))
-            return
-        h, bad, some = code[:n].copy(), split[:n].copy(), is_letter[:n].copy()
-        for j in range(1, GRAM):
-            h = (h << np.uint64(21)) ^ code[j : n + j]
-            bad |= split[j : n + j]
-            some |= is_letter[j : n + j]
-        good = some & ~bad
-        ends = np.append(np.flatnonzero(split), len(code))
-        upto = np.concatenate([[0], np.cumsum(good)])
-        base = bounds[-1]
-        bounds.extend((base + upto[np.minimum(ends, n)]).tolist())
-        hashes.append(mixed(h[good]))
-
     size = 0
     for t in texts:
         t = (t or "").lower().replace("\0", " ")
         if block and size + len(t) > BLOCK:
-            flush()
+            yield _block_grams(block)
             block, size = [], 0
         block.append(t)
         size += len(t)
-    flush()
-    return (np.concatenate(hashes) if hashes else empty), np.asarray(bounds)
+    if block:
+        yield _block_grams(block)
+
+
+def _block_grams(block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    letter = _letters()
+    a = np.frombuffer((" " + " \0 ".join(block) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where(letter[a], a, np.where(a == 0, 0, 32)).astype(np.uint64)
+    first = np.ones(len(code), bool)
+    first[1:] = (code[1:] != 32) | (code[:-1] != 32)  # one character for each gap
+    code = code[first]
+    split, is_letter = code == 0, (code != 0) & (code != 32)
+    n = len(code) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(len(block) + 1, np.int64)
+    h, bad, some = code[:n].copy(), split[:n].copy(), is_letter[:n].copy()
+    for j in range(1, GRAM):
+        h = (h << np.uint64(21)) ^ code[j : n + j]
+        bad |= split[j : n + j]
+        some |= is_letter[j : n + j]
+    good = some & ~bad
+    ends = np.append(np.flatnonzero(split), len(code))
+    upto = np.concatenate([[0], np.cumsum(good)])
+    return mixed(h[good]), np.concatenate([[0], upto[np.minimum(ends, n)]])
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all blocks at once, for a bounded number of texts."""
+    hashes, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for h, b in gram_blocks(texts):
+        bounds.append(bounds[-1][-1] + b[1:])
+        hashes.append(h)
+    return np.concatenate(hashes), np.concatenate(bounds)
 
 
 @dataclass
@@ -134,11 +139,9 @@ class LanguageFilter:
         filled = np.array([np.mean(self.cells[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(self.languages))])
         return filled**HASHES
 
-    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of n-grams of each text; [texts, languages] share of them, corrected for chance."""
-        keys, bounds = grams(texts)
-        n = np.diff(bounds)
-        hits = np.zeros((len(texts), len(self.languages)))
+    def _hits(self, keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """[texts, languages] number of n-grams of each text that the filter says a language contains."""
+        hits = np.zeros((len(bounds) - 1, len(self.languages)))
         if len(keys):
             where = None
             for at in self._places(keys):
@@ -146,6 +149,13 @@ class LanguageFilter:
             for i in range(len(self.languages)):
                 bit = np.concatenate([[0], np.cumsum(where[:, i // 64] >> np.uint64(i % 64) & np.uint64(1))])
                 hits[:, i] = bit[bounds[1:]] - bit[bounds[:-1]]
+        return hits
+
+    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of n-grams of each text; [texts, languages] share of them, corrected for chance."""
+        parts = [(np.diff(bounds), self._hits(keys, bounds)) for keys, bounds in gram_blocks(texts)]
+        n = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)])
+        hits = np.concatenate([np.zeros((0, len(self.languages))), *(x for _, x in parts)])
         chance = self.by_chance()
         share = hits / np.maximum(n, 1)[:, None]
         return n, np.clip((share - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
@@ -169,13 +179,10 @@ def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, held_out: bool
     def count(batches):
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: dict[str, list] = {"lang": [], "gram": [], "n": []}
             for lang in sorted(set(langs)):
-                g, n = np.unique(grams([t for t, l in zip(texts, langs) if l == lang])[0], return_counts=True)
-                out["lang"] += [lang] * len(g)
-                out["gram"] += g.view(np.int64).tolist()
-                out["n"] += n.tolist()
-            yield batch(out, _GRAMS)
+                for keys, _ in gram_blocks([t for t, l in zip(texts, langs) if l == lang]):
+                    g, n = np.unique(keys, return_counts=True)
+                    yield batch({"lang": pa.repeat(lang, len(g)), "gram": g.view(np.int64), "n": n}, _GRAMS)
 
     counted = sampled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.persist()
@@ -222,11 +229,11 @@ def _low_covers(sampled: DataFrame, kept) -> dict[str, float]:
 
     def judge(batches):
         for b in batches:
-            langs = b.column(0).to_pylist()
-            keys, bounds = grams(b.column(1).to_pylist())
-            rows = [i for i in range(len(langs)) if bounds[i] < bounds[i + 1]]
-            covers = [cover_by_others(keys[bounds[i] : bounds[i + 1]], *sent.value.get(langs[i], nothing)) for i in rows]
-            yield batch({"lang": [langs[i] for i in rows], "cover": covers}, _COVER)
+            of = iter(b.column(0).to_pylist())
+            for keys, bounds in gram_blocks(b.column(1).to_pylist()):
+                rows = [(lang, keys[lo:hi]) for lo, hi, lang in zip(bounds[:-1], bounds[1:], of) if lo < hi]
+                covers = [cover_by_others(own, *sent.value.get(lang, nothing)) for lang, own in rows]
+                yield batch({"lang": [lang for lang, _ in rows], "cover": covers}, _COVER)
 
     covers = sampled.mapInArrow(judge, "lang string, cover double")
     low = covers.groupBy("lang").agg(F.percentile("cover", F.lit(LOW_ROWS)).alias("low"))

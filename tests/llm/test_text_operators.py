@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -66,6 +67,18 @@ def test_grams_of_many_texts_are_those_of_each():
         assert (keys[bounds[k] : bounds[k + 1]] == alone).all() and bounds[k + 1] - bounds[k] == len(alone)
 
 
+def test_a_batch_is_judged_in_blocks_of_bounded_memory():
+    texts = ["the old house by a river was quiet " * 500] * 200  # 3.5 million code points
+    keys = np.unique(language_id.grams(texts[:1])[0])
+    model = language_id.LanguageFilter.of(["xx"], keys, np.ones((len(keys), 1), np.uint64))
+    tracemalloc.start()
+    languages, _, cover = language_id.guesses(model, [*texts, None, "12"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert languages == ["xx"] * 200 + ["und"] * 2 and (cover[:200] == 1).all()
+    assert peak < 30 << 20
+
+
 def test_texts_of_a_language_of_thousands_of_characters_are_known(spark):
     rng = np.random.default_rng(4)
     signs = [chr(0x4E00 + k) for k in range(4000)]
