@@ -3,6 +3,10 @@
 One pass over the rows (map-side partial aggregation, one small shuffle) reduces the table to one row per
 (source, granularity, vendor, workload, model, product, tier, hour of day). A source's 30-day factor is
 constant within a cell, so it is applied to the cells and never to the rows: no row is shuffled for it.
+
+A cost is linear in the weighted tokens of rows that share model, tier, region and side of the long-context
+limits. So rows are only told apart and summed up; the sums are priced, on the current and the next cheaper
+model too, and then rolled up to cells.
 """
 
 from __future__ import annotations
@@ -10,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.operators.pricing import add_costs, repriced_costs, with_targets
+from spendscope.operators.pricing import add_costs, long_prompts, repriced_costs, with_targets
 from spendscope.functions.joins import checked_broadcast
-from spendscope.schema import total_input
+from spendscope.schema import INPUT_COLUMNS, TOKEN_COLUMNS, total_input
 
 CELL_KEYS = ["source", "granularity", "vendor", "workload", "model_key", "product", "service_tier", "hour"]
 DAY_US = 86_400_000_000
@@ -42,18 +46,39 @@ def has_fingerprint() -> Column:
     return F.coalesce(F.size("prefix_hashes") > 0, F.lit(False))
 
 
-def usage_cells(spark: SparkSession, usage: DataFrame) -> DataFrame:
-    rows = add_costs(with_targets(spark, usage)).withColumns(repriced_costs()).withColumn("hour", F.hour("timestamp"))
-    tokens_in, weight, fp = total_input(), F.col("weight"), has_fingerprint()
-
-    def if_fp(value: Column) -> Column:
-        return F.sum(F.when(fp, value).otherwise(F.lit(0)))
-
-    return rows.groupBy(*CELL_KEYS).agg(
+def usage_traffic(spark: SparkSession, usage: DataFrame) -> DataFrame:
+    """Sums of rows that are priced alike: the only aggregation that sees rows. Token columns hold weighted sums."""
+    alike = {**long_prompts(), "is_short": is_short_call(), "has_fp": has_fingerprint()}
+    rows = with_targets(spark, usage).withColumns({**alike, "hour": F.hour("timestamp")})
+    weight = F.col("weight")
+    return rows.groupBy(*CELL_KEYS, "inference_geo", *alike).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(start_us()).alias("first_us"),
         F.max(end_us()).alias("last_us"),
         F.max("bucket_seconds").alias("widest_bucket"),
+        F.sum("weight").alias("n_weight"),
+        F.sum("requests").alias("n_requests"),
+        F.sum(total_input()).alias("n_input"),
+        *[F.sum(c).alias(f"n_{c}") for c in INPUT_COLUMNS],
+        F.sum(F.col("requests") * weight).alias("w_requests"),
+        F.sum(total_input() * weight).alias("w_input"),
+        F.sum(F.col("reasoning_tokens") * weight).alias("w_reasoning"),
+        *[F.sum(F.col(c) * weight).alias(c) for c in (*TOKEN_COLUMNS, "web_search_requests")],
+    )
+
+
+def usage_cells(spark: SparkSession, usage: DataFrame) -> DataFrame:
+    traffic = usage_traffic(spark, usage).withColumn("weight", F.lit(1.0))
+    rows = add_costs(with_targets(spark, traffic), told=True).withColumns(repriced_costs(told=True))
+
+    def if_fp(name: str) -> Column:
+        return F.sum(F.when(F.col("has_fp"), F.col(name)).otherwise(F.lit(0)))
+
+    return rows.groupBy(*CELL_KEYS).agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        F.max("widest_bucket").alias("widest_bucket"),
         F.bool_and("priced").alias("priced"),
         F.sum("cost_uncached").alias("cost_uncached"),
         F.sum("cost_cache_read").alias("cost_cache_read"),
@@ -64,23 +89,20 @@ def usage_cells(spark: SparkSession, usage: DataFrame) -> DataFrame:
         F.sum("cost_usd").alias("cost_usd"),
         F.sum("cost_on_current").alias("cost_on_current"),
         F.sum("cost_on_cheaper").alias("cost_on_cheaper"),
-        F.sum(F.when(is_short_call(), F.col("cost_usd")).otherwise(F.lit(0.0))).alias("short_cost"),
-        F.sum("weight").alias("weight"),
-        F.sum(F.col("requests") * weight).alias("w_requests"),
-        F.sum(tokens_in * weight).alias("w_input"),
-        F.sum(F.col("cache_read_tokens") * weight).alias("w_cached"),
-        F.sum(F.col("output_tokens") * weight).alias("w_output"),
-        F.sum(F.col("reasoning_tokens") * weight).alias("w_reasoning"),
-        F.sum("requests").alias("requests"),
-        F.sum("uncached_input_tokens").alias("uncached_input_tokens"),
-        F.sum("cache_read_tokens").alias("cache_read_tokens"),
-        F.sum("cache_write_tokens").alias("cache_write_tokens"),
-        F.sum("cache_write_1h_tokens").alias("cache_write_1h_tokens"),
-        F.sum(fp.cast("bigint")).alias("fp_rows"),
-        if_fp(F.col("cost_input")).alias("fp_cost_input"),
-        if_fp(F.col("cost_usd")).alias("fp_cost_usd"),
-        if_fp(F.col("cache_read_tokens")).alias("fp_cache_read"),
-        if_fp(tokens_in).alias("fp_input"),
+        F.sum(F.when(F.col("is_short"), F.col("cost_usd")).otherwise(F.lit(0.0))).alias("short_cost"),
+        F.sum("n_weight").alias("weight"),
+        F.sum("w_requests").alias("w_requests"),
+        F.sum("w_input").alias("w_input"),
+        F.sum("cache_read_tokens").alias("w_cached"),
+        F.sum("output_tokens").alias("w_output"),
+        F.sum("w_reasoning").alias("w_reasoning"),
+        F.sum("n_requests").alias("requests"),
+        *[F.sum(f"n_{c}").alias(c) for c in INPUT_COLUMNS],
+        if_fp("n_rows").alias("fp_rows"),
+        if_fp("cost_input").alias("fp_cost_input"),
+        if_fp("cost_usd").alias("fp_cost_usd"),
+        if_fp("n_cache_read_tokens").alias("fp_cache_read"),
+        if_fp("n_input").alias("fp_input"),
     )
 
 

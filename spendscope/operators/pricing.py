@@ -41,21 +41,34 @@ def tier_is_unverified(tier: Column, prefix: str = "") -> Column:
     return ~F.coalesce(known, F.lit(False))
 
 
-def row_scales(prefix: str = "", token_scale: Column | None = None) -> tuple[Column, Column]:
-    """(input, output) multipliers of a row: tier x sample weight x US geo x long context."""
+def is_long_prompt(prefix: str = "", token_scale: Column | None = None) -> Column:
+    """Only a request row knows its own prompt size; a NULL threshold never matches."""
     scale = F.lit(1.0) if token_scale is None else token_scale
+    return (F.col("granularity") == "request") & (total_input() * scale > F.col(f"{prefix}long_threshold"))
+
+
+def long_prompts() -> dict[str, Column]:
+    """Per price prefix, what ``told`` below reads: whether a row's prompt is long for that model."""
+    scales = {"": None, "cur_": F.col("cur_ratio"), "cheap_": F.col("cheap_ratio")}
+    return {f"{prefix}long_prompt": is_long_prompt(prefix, scale) for prefix, scale in scales.items()}
+
+
+def row_scales(prefix: str = "", token_scale: Column | None = None, told: bool = False) -> tuple[Column, Column]:
+    """(input, output) multipliers of a row: tier x sample weight x US geo x long context.
+
+    Sums of rows have no prompt size; where the rows were told apart before (``told``), a column says what they were.
+    """
     geo = F.when(F.col("inference_geo") == "us", F.lit(US_GEO_MULTIPLIER)).otherwise(F.lit(1.0))
     base = tier_multiplier(F.col("service_tier"), prefix) * F.col("weight") * geo
-    # Only a request row knows its own prompt size; a NULL threshold never matches.
-    long_prompt = (F.col("granularity") == "request") & (total_input() * scale > F.col(f"{prefix}long_threshold"))
+    long_prompt = F.col(f"{prefix}long_prompt") if told else is_long_prompt(prefix, token_scale)
     return (
         base * F.when(long_prompt, F.col(f"{prefix}long_in")).otherwise(F.lit(1.0)),
         base * F.when(long_prompt, F.col(f"{prefix}long_out")).otherwise(F.lit(1.0)),
     )
 
 
-def cost_parts(prefix: str = "", token_scale: Column | None = None) -> dict[str, Column]:
-    in_scale, out_scale = row_scales(prefix, token_scale)
+def cost_parts(prefix: str = "", token_scale: Column | None = None, told: bool = False) -> dict[str, Column]:
+    in_scale, out_scale = row_scales(prefix, token_scale, told)
     unit = (F.lit(1.0) if token_scale is None else token_scale) / F.lit(1e6)
 
     def p(name: str) -> Column:
@@ -86,10 +99,10 @@ def with_targets(spark: SparkSession, usage: DataFrame) -> DataFrame:
     return keyed(usage).join(F.broadcast(migration_book(spark)), "model_key", "left")
 
 
-def add_costs(df: DataFrame) -> DataFrame:
+def add_costs(df: DataFrame, told: bool = False) -> DataFrame:
     """Cost columns for rows that already carry their price columns."""
     zero = F.lit(0.0)
-    parts = {name: F.coalesce(col, zero) for name, col in cost_parts().items()}
+    parts = {name: F.coalesce(col, zero) for name, col in cost_parts(told=told).items()}
     other = F.col("web_search_requests") * F.col("weight") * F.lit(WEB_SEARCH_USD_PER_1K) / F.lit(1000)
     return (
         df.withColumns({**parts, "cost_other": other, "priced": F.col("p_input").isNotNull()})
@@ -103,11 +116,11 @@ def priced_usage(spark: SparkSession, usage: DataFrame) -> DataFrame:
     return add_costs(with_prices(spark, usage))
 
 
-def repriced_costs() -> dict[str, Column]:
+def repriced_costs(told: bool = False) -> dict[str, Column]:
     """Input + output cost of the same traffic on the current and on the next cheaper model."""
     out = {}
     for name, prefix in (("cost_on_current", "cur_"), ("cost_on_cheaper", "cheap_")):
-        parts = cost_parts(prefix, F.col(f"{prefix}ratio"))
+        parts = cost_parts(prefix, F.col(f"{prefix}ratio"), told)
         out[name] = (
             parts["cost_uncached"] + parts["cost_cache_read"] + parts["cost_cache_write"] + parts["cost_output"]
         )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from spendscope import raw_adapters as raw
 from spendscope.functions import identity
-from spendscope.operators import duplicates, pricing, reuse
+from spendscope.operators import cells, duplicates, pricing, reuse
 from spendscope.queries import queries
+from spendscope.schema import as_usage
 from spendscope.sources import exports
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -107,3 +108,45 @@ def test_the_patterns_of_a_model_id_run_once_a_row(spark):
     keys = pricing.keyed(rows)
     assert plan_of(keys).count("regexp_replace") == 2
     assert keys.filter(~F.col("model_key").eqNullSafe(identity.model_key("model"))).count() == 0 and keys.count() == len(ids)
+
+
+# ---- cells
+
+
+def mixed_calls(spark):
+    """Request rows of one cell that differ in all that prices depend on, and rows without a price or a request."""
+    rows = [
+        (i, "request" if i % 7 else "bucket", ["gpt-5.4", "claude-sonnet-4-5", "gpt-4o", "nobody"][i % 4], ["us", None][i % 2], 1.0 + i % 3,
+         [100, 5_000, 190_000, 600_000][i // 4 % 4] + i, 40 * i, 3 * i, i % 5, 60 + 9 * i, ["a"] if i % 3 else None, i % 2)
+        for i in range(160)
+    ]
+    frame = spark.createDataFrame(
+        rows,
+        "seq bigint, granularity string, model string, inference_geo string, weight double, uncached_input_tokens bigint, cache_read_tokens bigint,"
+        " cache_write_tokens bigint, cache_write_1h_tokens bigint, output_tokens bigint, prefix_hashes array<string>, web_search_requests bigint",
+    )
+    more = {"timestamp": F.timestamp_seconds(F.lit(1_700_000_000)), "vendor": F.lit("v"), "source": F.lit("s"), "requests": F.lit(2)}
+    return as_usage(frame.withColumns({**more, "service_tier": F.element_at(F.array(F.lit("batch"), F.lit("fast")), (F.col("seq") % 2 + 1).cast("int"))}))
+
+
+def test_cells_price_sums_of_rows_as_rows(spark):
+    usage = mixed_calls(spark)
+    rows = pricing.add_costs(pricing.with_targets(spark, usage)).withColumns(pricing.repriced_costs())
+    assert rows.select(pricing.is_long_prompt().alias("long")).distinct().count() > 2
+    sums = ["cost_uncached", "cost_cache_read", "cost_cache_write", "cost_output", "cost_other", "cost_usd", "cost_on_current", "cost_on_cheaper"]
+    slow = {"short_cost": F.when(cells.is_short_call(), F.col("cost_usd")).otherwise(0.0), "fp_cost_usd": F.when(cells.has_fingerprint(), F.col("cost_usd")).otherwise(0.0)}
+    keys = ["granularity", "model_key", "service_tier"]
+    expected = rows.withColumns(slow).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*sums, *slow]], F.count(F.lit(1)).alias("n_rows"))
+    found = {tuple(r[k] for k in keys): r for r in cells.usage_cells(spark, usage).collect()}
+    assert len(found) == expected.count()
+    for r in expected.collect():
+        cell = found[tuple(r[k] for k in keys)]
+        for name in [*sums, *slow, "n_rows"]:
+            assert cell[name] == pytest.approx(r[name]), (name, r)
+
+
+def test_rows_are_summed_before_they_are_priced(spark):
+    usage = mixed_calls(spark)
+    traffic = cells.usage_traffic(spark, usage)
+    assert "p_output" not in plan_of(traffic) and "p_input" not in plan_of(traffic)
+    assert plan_of(cells.usage_cells(spark, usage)).count("HashAggregate") == 2 * plan_of(traffic).count("HashAggregate")
