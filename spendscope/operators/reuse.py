@@ -33,23 +33,6 @@ def fingerprinted_requests(spark: SparkSession, usage: DataFrame) -> DataFrame:
     return priced_usage(spark, requests).filter("priced").withColumn("at_us", start_us())
 
 
-def _own_deepest_blocks() -> Column:
-    """Prompt blocks as structs; a hash repeated inside one request keeps its deepest position only."""
-    zipped = F.arrays_zip(
-        F.sequence(F.lit(0), F.size("prefix_hashes") - 1).alias("pos"),
-        F.col("prefix_hashes").alias("prefix_hash"),
-        F.col("prefix_chars").alias("chars"),
-    )
-    blocks = F.transform(
-        zipped,
-        lambda b: F.struct(b["pos"].alias("pos"), b["prefix_hash"].alias("prefix_hash"), b["chars"].alias("chars")),
-    )
-    rest = lambda b: F.slice(F.col("prefix_hashes"), b["pos"] + 2, F.size("prefix_hashes"))
-    unique = F.filter(blocks, lambda b: ~F.array_contains(rest(b), b["prefix_hash"]))
-    repeats = F.size(F.array_distinct("prefix_hashes")) < F.size("prefix_hashes")
-    return F.when(repeats, unique).otherwise(blocks)
-
-
 def shortest_ttl() -> int:
     return min(HOUR_SECONDS, *(r["ttl_seconds"] for r in price_rows()))
 
@@ -59,7 +42,9 @@ def cache_replay(spark: SparkSession, usage: DataFrame) -> DataFrame:
     totals = total_input().cast("double")
     in_scale, _ = row_scales()
     per_char = F.coalesce(totals / F.nullif(F.element_at("prefix_chars", -1), F.lit(0)), F.lit(0.0))
-    # What a request's blocks share is computed before they are taken apart.
+    # What a request's blocks share is computed before they are taken apart, and so are the arrays: a generator would
+    # interpret an expression, and the outer form keeps the planner from adding a filter that builds them twice. A hash
+    # repeated in one request has the same edges at each position, so its deepest one wins without being looked for.
     calls = fingerprinted_requests(spark, usage).select(
         "model_key",
         "at_us",
@@ -71,10 +56,11 @@ def cache_replay(spark: SparkSession, usage: DataFrame) -> DataFrame:
         totals.alias("total"),
         in_scale.alias("in_scale"),
         "prefix_hashes",
-        "prefix_chars",
+        F.arrays_zip(F.col("prefix_hashes").alias("prefix_hash"), F.col("prefix_chars").alias("chars")).alias("zipped"),
     )
-    # The outer form keeps the planner from adding a filter on the array, which would build it twice.
-    blocks = calls.select("*", F.posexplode_outer(_own_deepest_blocks()).alias("block_no", "block")).select(
+    uses = calls.select("model_key", "slice", "at_us", "moment", F.explode_outer("prefix_hashes").alias("prefix_hash"))
+    edges = slice_edges(uses, _PREFIX).select(*_PREFIX, "slice", "first_moment", "last_moment", "prev_us", "next_us")
+    blocks = calls.select("*", F.posexplode_outer("zipped").alias("pos", "block")).select(
         "model_key",
         F.col("block.prefix_hash").alias("prefix_hash"),
         "at_us",
@@ -82,13 +68,11 @@ def cache_replay(spark: SparkSession, usage: DataFrame) -> DataFrame:
         "seq",
         "slice",
         "moment",
-        F.col("block.pos").alias("pos"),
-        (F.col("block_no") == 0).alias("is_head"),
+        "pos",
         (F.coalesce("block.chars", F.lit(0)) * F.col("per_char")).alias("tokens"),
         "total",
         "in_scale",
     )
-    edges = slice_edges(blocks, _PREFIX).select(*_PREFIX, "slice", "first_moment", "last_moment", "prev_us", "next_us")
     book = price_book(spark)
     ttls = book.select(
         "model_key",
@@ -105,7 +89,7 @@ def cache_replay(spark: SparkSession, usage: DataFrame) -> DataFrame:
     )
     # A block that was used neither before nor after in time says nothing; each request keeps one row, its first block.
     used = reduce(or_, [F.col(f"gap_{kind}") <= F.col(f"ttl_{o}") for kind in ("hit", "reuse") for o in _OPTIONS])
-    seen = seen.filter(F.col("is_head") | F.coalesce(used, F.lit(False)))
+    seen = seen.filter((F.col("pos") == 0) | F.coalesce(used, F.lit(False)))
     calls = seen.groupBy("model_key", "source", "seq").agg(
         *[F.max(c).alias(c) for c in ("at_us", "total", "in_scale")],
         *[

@@ -150,3 +150,11 @@ def test_rows_are_summed_before_they_are_priced(spark):
     traffic = cells.usage_traffic(spark, usage)
     assert "p_output" not in plan_of(traffic) and "p_input" not in plan_of(traffic)
     assert plan_of(cells.usage_cells(spark, usage)).count("HashAggregate") == 2 * plan_of(traffic).count("HashAggregate")
+
+
+# ---- replay
+
+
+def test_the_replay_builds_no_block_by_an_interpreted_function(spark):
+    plan = plan_of(reuse.cache_replay(spark, mixed_calls(spark)))
+    assert "lambdafunction" not in plan and "explode(arrays_zip" not in plan
